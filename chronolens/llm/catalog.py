@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronolens.llm.density import clusters, described
 from chronolens.llm.neighbours import nearest
+from chronolens.sources.staging import stage
 from chronolens.sources.tables import table
 
 
@@ -19,5 +21,22 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select(F.least("query", "key").alias("left_key"), F.greatest("query", "key").alias("right_key")).distinct()
 
 
-QUERIES = {"p7_found": p7_found}
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return clusters(_captures(spark, sf)).select(F.col("key").alias("sub_frame_id"), "cluster_key")
+
+
+def p4_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Size and medoids of each cluster beside what the activity tables claim for them."""
+    found = stage(clusters(_captures(spark, sf)), "clusters")
+    typical = described(_captures(spark, sf), found)
+    typical = typical.groupBy("cluster_key", "n_members").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "key"))), lambda x: x["key"]).alias("typical")).withColumn("typical", F.array_join("typical", ","))
+    last = table(spark, sf, "activity_assignments").groupBy(F.col("sub_frame_id").alias("key")).agg(F.max(F.struct("cluster_updated_at", "activity_cluster_id")).alias("last"))
+    claims = found.join(last, "key").groupBy("cluster_key", F.col("last.activity_cluster_id").alias("claimed")).agg(F.count(F.lit(1)).alias("n"))
+    claims = claims.where(F.col("claimed").isNotNull()).groupBy("cluster_key").agg(F.max(F.struct(F.col("n"), (-F.col("claimed")).alias("id"))).alias("most"))
+    counts = table(spark, sf, "activity_clusters").groupBy(F.col("id").alias("claimed_cluster_id")).agg(F.max("frame_count").alias("claimed_count"))
+    named = claims.select("cluster_key", (-F.col("most.id")).alias("claimed_cluster_id"), F.col("most.n").alias("n_agreeing"))
+    return typical.join(named, "cluster_key", "left").join(counts, "claimed_cluster_id", "left").select("cluster_key", "n_members", "typical", "claimed_cluster_id", "n_agreeing", "claimed_count")
+
+
+QUERIES = {"p4_found": p4_found, "p4_clusters": p4_clusters, "p7_found": p7_found}
 ORACLE: dict[str, str] = {}
