@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronolens.llm.components import components
 from chronolens.llm.density import clusters, described
+from chronolens.llm.edited import key_pairs, similar_pairs
 from chronolens.llm.neighbours import nearest
 from chronolens.sources.staging import stage
 from chronolens.sources.tables import table
@@ -38,5 +40,53 @@ def p4_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return typical.join(named, "cluster_key", "left").join(counts, "claimed_cluster_id", "left").select("cluster_key", "n_members", "typical", "claimed_cluster_id", "n_agreeing", "claimed_count")
 
 
-QUERIES = {"p4_found": p4_found, "p4_clusters": p4_clusters, "p7_found": p7_found}
-ORACLE: dict[str, str] = {}
+#: Fewest distinct words of a field's values.
+_LEAST = {"text": 8, "window_name": 5}
+
+
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    screens = table(spark, sf, "ocr_text").select(F.lit("text").alias("field_name"), F.col("id").cast("string").alias("key"), "text")
+    titles = table(spark, sf, "sub_frames").select(F.lit("window_name").alias("field_name"), F.col("window_name").alias("key"), F.col("window_name").alias("text")).distinct()
+    return screens.unionByName(titles)
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return key_pairs(*similar_pairs(_texts(spark, sf), _LEAST)).distinct()
+
+
+def p6_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """One row for each text that has a near-duplicate: its group, the other word sets it
+    is similar to and the keys that share its own."""
+    members, pairs = similar_pairs(_texts(spark, sf), _LEAST)
+    pairs = stage(pairs.select("left", "right"), "similar-sets")
+    roots = components(pairs.select(F.col("right").alias("a"), F.col("left").alias("b")))
+    both = pairs.unionByName(pairs.select(F.col("right").alias("left"), F.col("left").alias("right")))
+    links = both.groupBy(F.col("left").alias("c1")).agg(F.count(F.lit(1)).alias("n_similar_sets"))
+    same = members.groupBy("c1").agg(F.count(F.lit(1)).alias("n_same_set"), F.min("key").alias("least_key"))
+    sets = same.join(links, "c1", "left").join(roots.withColumnRenamed("node", "c1"), "c1", "left").where((F.col("n_same_set") > 1) | F.col("root").isNotNull())
+    sets = sets.withColumn("root", F.coalesce("root", "c1"))
+    named = sets.groupBy("root").agg(F.min("least_key").alias("group_key"))
+    return members.join(sets, "c1").join(named, "root").select("field_name", "key", "group_key", F.coalesce("n_similar_sets", F.lit(0)).alias("n_similar_sets"), "n_same_set")
+
+
+P6_SQL = r"""
+WITH docs AS (SELECT 'text' AS field_name, id::VARCHAR AS key, text FROM ocr_text
+              UNION SELECT DISTINCT 'window_name', window_name, window_name FROM sub_frames),
+w AS (SELECT DISTINCT field_name, key, list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS w FROM docs WHERE text IS NOT NULL),
+s AS (SELECT *, len(w) AS n FROM w WHERE len(w) >= CASE field_name WHEN 'text' THEN 8 ELSE 5 END)
+SELECT DISTINCT a.field_name, a.key AS left_key, b.key AS right_key FROM s a JOIN s b ON a.field_name = b.field_name AND a.key < b.key
+    AND least(a.n, b.n) * 10 >= greatest(a.n, b.n) * 7
+WHERE len(list_intersect(a.w, b.w)) * 17 >= (a.n + b.n) * 7
+"""
+
+P7_SQL = """
+WITH caps AS (SELECT DISTINCT frame_id AS key, embedding::DOUBLE[] AS v FROM sub_frame_data WHERE len(embedding) = 64 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
+qs AS (SELECT key, v, true AS own FROM caps UNION ALL
+       SELECT DISTINCT 'cluster:' || id, centroid::DOUBLE[], false FROM activity_clusters WHERE len(centroid) = 64 AND list_sum(list_transform(centroid, lambda x: abs(x))) > 0),
+sims AS (SELECT q.key AS q, c.key AS c, round(list_cosine_similarity(q.v, c.v), 6) AS s FROM qs q JOIN caps c ON q.key <> c.key),
+best AS (SELECT q, c FROM sims WHERE s >= 0.8 QUALIFY row_number() OVER (PARTITION BY q ORDER BY s DESC, c) <= 5)
+SELECT DISTINCT least(q, c) AS left_key, greatest(q, c) AS right_key FROM best
+"""
+
+QUERIES = {"p4_found": p4_found, "p4_clusters": p4_clusters, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found}
+ORACLE = {"p6_found": P6_SQL, "p7_found": P7_SQL}
