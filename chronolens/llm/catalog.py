@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chronolens.llm.components import components
 from chronolens.llm.density import clusters, described
 from chronolens.llm.edited import key_pairs, similar_pairs
+from chronolens.llm.leaks import leaks
 from chronolens.llm.neighbours import nearest
 from chronolens.sources.staging import stage
 from chronolens.sources.tables import table
@@ -88,5 +89,21 @@ best AS (SELECT q, c FROM sims WHERE s >= 0.8 QUALIFY row_number() OVER (PARTITI
 SELECT DISTINCT least(q, c) AS left_key, greatest(q, c) AS right_key FROM best
 """
 
-QUERIES = {"p4_found": p4_found, "p4_clusters": p4_clusters, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found}
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+def p9_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+QUERIES = {
+    "p4_found": p4_found,
+    "p4_clusters": p4_clusters,
+    "p6_found": p6_found,
+    "p6_groups": p6_groups,
+    "p7_found": p7_found,
+    "p9_found": p9_found,
+    "p9_spans": p9_spans,
+}
 ORACLE = {"p6_found": P6_SQL, "p7_found": P7_SQL}
