@@ -10,6 +10,7 @@ from chronolens.llm.density import clusters, described
 from chronolens.llm.edited import key_pairs, similar_pairs
 from chronolens.llm.leaks import leaks
 from chronolens.llm.neighbours import nearest
+from chronolens.llm.subjects import subjects_of
 from chronolens.sources.staging import stage
 from chronolens.sources.tables import table
 
@@ -97,6 +98,21 @@ def p9_spans(spark: SparkSession, sf: str) -> DataFrame:
     return leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
 
 
+def _subjects(spark: SparkSession, sf: str) -> DataFrame:
+    return subjects_of(table(spark, sf, "documents"), table(spark, sf, "subjects"), table(spark, sf, "subject_labels"))
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _subjects(spark, sf).select("doc_id", "subject_code")
+
+
+def p10_composition(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and sentences of each subject, by kind of document."""
+    kinds = table(spark, sf, "documents").select("doc_id", "doc_kind")
+    found = _subjects(spark, sf).join(kinds, "doc_id")
+    return found.groupBy("doc_kind", "subject_code").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n_sentences").alias("n_sentences"))
+
+
 QUERIES = {
     "p4_found": p4_found,
     "p4_clusters": p4_clusters,
@@ -105,5 +121,7 @@ QUERIES = {
     "p7_found": p7_found,
     "p9_found": p9_found,
     "p9_spans": p9_spans,
+    "p10_found": p10_found,
+    "p10_composition": p10_composition,
 }
 ORACLE = {"p6_found": P6_SQL, "p7_found": P7_SQL}
