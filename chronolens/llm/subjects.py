@@ -14,6 +14,7 @@ fills a given share of such sentences.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,9 +40,16 @@ def _grams(sentence: Column) -> Column:
     return F.struct(F.array_distinct(one).alias("words"), F.coalesce(F.array_distinct(pairs(tokens)), F.array().cast("array<long>")).alias("pairs"))
 
 
-def sentences(documents: DataFrame) -> DataFrame:
-    """(doc_id, section, sentence, words, pairs): hashed grams of every sentence of every document."""
+def sentences(documents: DataFrame, titles: list[str]) -> DataFrame:
+    """(doc_id, section, sentence, words, pairs): hashed grams of every sentence of every document.
+
+    The subjects' own ``titles`` are taken out first: they name folders and
+    banners as often as matter.
+    """
     docs = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
+    if titles:
+        pattern = "(?iu)" + "|".join(r"\s+".join(re.escape(w) for w in t.split()) for t in sorted(titles, key=len, reverse=True))
+        docs = docs.withColumn("text", F.regexp_replace("text", pattern, "_"))
     sections = docs.select("doc_id", F.posexplode(F.split("text", r"\n\s*\n|\n(?=#)")).alias("section", "body"))
     parts = sections.select("doc_id", "section", F.posexplode(F.split("body", r"(?<=[.!?;])\s+|\n+")).alias("sentence", "s")).where(F.length("s") > 2)
     grams = parts.select("doc_id", "section", "sentence", _grams(F.col("s")).alias("g"))
@@ -77,24 +85,31 @@ class Lexicon:
         return flat.reshape(rows, n)
 
 
-def first_lexicon(documents: DataFrame, labels: DataFrame, least: int = 3, share: float = 0.4) -> DataFrame:
+def first_lexicon(documents: DataFrame, labels: DataFrame, titles: list[str], least: int = 3, share: float = 0.4) -> DataFrame:
     """(h, subject, weight) from the labelled documents; copies of a text count once."""
     each = labels.groupBy("doc_id").agg(F.collect_set("subject").alias("of"))
     texts = documents.join(each, "doc_id").withColumn("__text", F.xxhash64("text")).dropDuplicates(["__text"])
-    grams = sentences(texts).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list(F.concat("words", "pairs")))).alias("g"))
+    grams = sentences(texts, titles).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list(F.concat("words", "pairs")))).alias("g"))
     rows = grams.join(each, "doc_id").select(F.explode("g").alias("h"), "of").select("h", F.explode("of").alias("subject"), (1.0 / F.size("of")).alias("w"))
     return _best(rows.groupBy("h", "subject").agg(F.sum("w").alias("w")), least, share)
 
 
-def _best(counts: DataFrame, least: int, share: float) -> DataFrame:
-    most = counts.groupBy("h").agg(F.sum("w").alias("n"), F.max(F.struct("w", "subject")).alias("top"))
+def _best(counts: DataFrame, least: int, share: float, covered: float = 0.0) -> DataFrame:
+    said = F.col("subject") >= 0
+    ranked = F.reverse(F.array_sort(F.collect_list(F.when(said, F.struct("w", "subject")))))  # one for each subject
+    most = counts.groupBy("h").agg(F.sum("w").alias("all"), F.sum(F.when(said, F.col("w"))).alias("n"), ranked.alias("r"))
+    most = most.where((F.col("n") >= least) & (F.col("n") >= covered * F.col("all"))).select("h", "n", F.col("r")[0].alias("top"), F.coalesce(F.get("r", F.lit(1))["w"], F.lit(0.0)).alias("next"))
     part = F.col("top.w") / F.col("n")
-    kept = most.where((F.col("n") >= least) & (part >= share)).orderBy(F.desc("n"), "h").limit(LEXICON_MAX)
+    kept = most.where((F.col("n") >= least) & (part >= share) & (F.col("top.w") > 1.3 * F.col("next"))).orderBy(F.desc("n"), "h").limit(LEXICON_MAX)
     return kept.select("h", F.col("top.subject").cast("int").alias("subject"), F.log((part + 0.01) / (1.01 - part) * 10 + 1).alias("weight"))
 
 
-def second_lexicon(grams: DataFrame, first: DataFrame, n: int, least: int = 3, share: float = 0.8) -> DataFrame:
-    """The lexicon anew from all sentences, each gram judged by the others around it."""
+def second_lexicon(grams: DataFrame, first: DataFrame, n: int, least: int = 3, share: float = 0.8, covered: float = 0.5) -> DataFrame:
+    """The lexicon anew from all sentences, each gram judged by the others around it.
+
+    A gram must stand in sentences about its subject (``share`` of those about any,
+    ``covered`` of all), so words that sentences about nothing share stay out.
+    """
     shared = ship(grams.sparkSession).broadcast(Lexicon(first.toArrow()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,18 +119,16 @@ def second_lexicon(grams: DataFrame, first: DataFrame, n: int, least: int = 3, s
                 continue
             h, row = (np.concatenate(x) for x in zip(_lists(batch.column(0)), _lists(batch.column(1))))
             total = lexicon.votes(h, row, batch.num_rows, n)
-            busy = (total.sum(1) > 0)[row]
-            h, row = h[busy], row[busy]
             others = total[row]
             known, entry = lexicon.find(h)
             others[np.flatnonzero(known), lexicon.subject[entry]] -= lexicon.weight[entry]
             best = others.argmax(1)
-            sure = others[np.arange(len(h)), best] > 1e-6
-            keys, w = np.unique(np.stack([h[sure], best[sure]]), axis=1, return_counts=True)
+            best[others[np.arange(len(h)), best] <= 1e-6] = -1  # a sentence that says nothing else
+            keys, w = np.unique(np.stack([h, best]), axis=1, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(keys[1].astype(np.int32)), pa.array(w.astype(np.float64))], names=["h", "subject", "w"])
 
     counts = grams.select("words", "pairs").mapInArrow(count, "h long, subject int, w double")
-    return _best(counts.groupBy("h", "subject").agg(F.sum("w").alias("w")), least, share)
+    return _best(counts.groupBy("h", "subject").agg(F.sum("w").alias("w")), least, share, covered)
 
 
 def lexicon_votes(grams: DataFrame, lexicon: DataFrame, n: int) -> DataFrame:
@@ -127,8 +140,9 @@ def lexicon_votes(grams: DataFrame, lexicon: DataFrame, n: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             one, two = (shared.value.votes(*_lists(batch.column(i)), batch.num_rows, n) for i in (2, 3))
+            hits = sum(np.bincount(row[shared.value.find(h)[0]], minlength=batch.num_rows) for h, row in (_lists(batch.column(i)) for i in (2, 3)))
             pick = lambda v: pa.array(v.argmax(1).astype(np.int32), mask=v.max(1) <= 0)
-            about = pa.array((one.max(1) > 0) | (two.max(1) > 0))
+            about = pa.array(hits >= 2)  # one word alone may be chance
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pick(one), pick(two)], names=["doc_id", "section", "words", "pairs"]).filter(about)
 
     return grams.select("doc_id", "section", "words", "pairs").mapInArrow(vote, "doc_id long, section int, words int, pairs int")
@@ -178,14 +192,16 @@ def subjects_of(documents: DataFrame, subjects: DataFrame, labels: DataFrame, sh
     texts are read whole.
     """
     spark = documents.sparkSession
-    codes = sorted(r[0] for r in subjects.where(F.col("subject_code").isNotNull()).select("subject_code").distinct().limit(1_000).collect())
+    rows = subjects.where(F.col("subject_code").isNotNull()).select("subject_code", "title").distinct().limit(2_000).collect()
+    codes, titles = sorted({r[0] for r in rows}), sorted({r[1].strip() for r in rows if r[1] and r[1].strip()})
     n = max(2, len(codes))
     numbers = spark.createDataFrame(list(enumerate(codes)) or [(0, "")], "subject int, subject_code string")
     docs = documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text", "source")
     known = labels.join(numbers, "subject_code").select("doc_id", "subject").distinct()
-    grams = sentences(docs)
-    first = stage(first_lexicon(docs, known), "lexicon")
-    lexicon = stage(second_lexicon(grams, first, n), "lexicon")
+    grams = sentences(docs, titles)
+    first = stage(first_lexicon(docs, known, titles), "lexicon")
+    once = stage(second_lexicon(grams, first, n), "lexicon")
+    lexicon = stage(second_lexicon(grams, once, n), "lexicon")
     votes = stage(lexicon_votes(grams, lexicon, n), "sentence-votes")
 
     own = F.coalesce("pairs", "words")
