@@ -40,14 +40,16 @@ def word_sets(rows: DataFrame, least: dict[str, int]) -> DataFrame:
     """(field_name, key, n, h, c1): hashed distinct words of each row with enough of them.
 
     ``rows`` has (field_name, key, text). Words of different fields never hash
-    alike on purpose, so fields do not meet. c1 stands for the whole set.
+    alike on purpose, so fields do not meet. c1 stands for the whole set. A word
+    is 32 bits: that two of a pair's some 80 words agree in them has a chance of
+    one in a million, and it matters only to a pair one word from the floor.
     """
     enough = None
     for name, n in least.items():
         enough = F.when(F.col("field_name") == name, n) if enough is None else enough.when(F.col("field_name") == name, n)
     sets = rows.where(F.col("text").isNotNull() & F.col("key").isNotNull()).select("field_name", "key", words(F.col("text")).alias("w"))
     sets = sets.where(F.size("w") >= enough)
-    hashes = F.array_sort(F.transform("w", lambda w: F.xxhash64(F.col("field_name"), w)))
+    hashes = F.array_sort(F.transform("w", lambda w: F.hash(F.col("field_name"), w)))
     return sets.select("field_name", "key", F.size("w").alias("n"), hashes.alias("h")).withColumn("c1", F.xxhash64("h"))
 
 
@@ -68,7 +70,7 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def sketches(h: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """The 128-bit parity sketch of each row's hashes, as two columns of 64 bits."""
-    bit = (h.view(np.uint64) >> np.uint64(57)).astype(np.int64)
+    bit = (h.view(np.uint32) >> np.uint32(25)).astype(np.int64)
     odd = np.bincount(row * 128 + bit, minlength=rows * 128).astype(np.uint8) & 1
     packed = np.packbits(odd.reshape(rows, 128), axis=1).view(np.uint64)
     return packed[:, 0], packed[:, 1]
@@ -97,7 +99,7 @@ def entries(classes: DataFrame, counts: np.ndarray, floor: tuple[int, int]) -> D
             at = row[keep]
             yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(c1[at]), pa.array(n[at].astype(np.int32)), pa.array(s1[at].view(np.int64)), pa.array(s2[at].view(np.int64))], names=["token", "c1", "n", "s1", "s2"])
 
-    return classes.select("c1", "n", "h").mapInArrow(cut, "token long, c1 long, n int, s1 long, s2 long")
+    return classes.select("c1", "n", "h").mapInArrow(cut, "token int, c1 long, n int, s1 long, s2 long")
 
 
 class Forest:
