@@ -10,6 +10,7 @@ from chronolens.llm.density import clusters, described
 from chronolens.llm.edited import key_pairs, similar_pairs
 from chronolens.llm.leaks import leaks
 from chronolens.llm.neighbours import nearest
+from chronolens.llm.packing import CAPACITY, pack, token_counts
 from chronolens.llm.subjects import subjects_of
 from chronolens.sources.staging import stage
 from chronolens.sources.tables import table
@@ -90,6 +91,31 @@ best AS (SELECT q, c FROM sims WHERE s >= 0.8 QUALIFY row_number() OVER (PARTITI
 SELECT DISTINCT least(q, c) AS left_key, greatest(q, c) AS right_key FROM best
 """
 
+#: Where the public tokenizers lie; a session may name another folder.
+_TOKENIZERS = ("spark.chronolens.tokenizers", "/opt/tokenizers")
+
+
+def _packed(spark: SparkSession, sf: str) -> DataFrame:
+    from importlib.util import module_from_spec, spec_from_file_location
+
+    folder = spark.conf.get(*_TOKENIZERS)
+    spec = spec_from_file_location("tokenizer_files", f"{folder}/__init__.py")
+    files = module_from_spec(spec)
+    spec.loader.exec_module(files)
+    return pack(token_counts(table(spark, sf, "documents"), f"{folder}/byte_bpe_50k.tiktoken", files.PATTERN))
+
+
+def p8_pack(spark: SparkSession, sf: str) -> DataFrame:
+    return _packed(spark, sf)
+
+
+def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """How full the containers are, by tenths; the total shows the space left unused."""
+    bins = _packed(spark, sf).where(F.col("container").isNotNull()).groupBy("container").agg(F.sum("n_tokens").alias("fill"), F.count(F.lit(1)).alias("items"))
+    tenth = F.least(F.floor(F.col("fill") * 10 / CAPACITY), F.lit(9)).alias("tenth")
+    return bins.groupBy(tenth).agg(F.count(F.lit(1)).alias("n_containers"), F.sum("fill").alias("n_tokens"), F.sum(CAPACITY - F.col("fill")).alias("unused"), F.sum("items").alias("n_pieces"))
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items")).select("doc_id", "item_id").distinct()
 
@@ -119,6 +145,8 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_groups": p6_groups,
     "p7_found": p7_found,
+    "p8_pack": p8_pack,
+    "p8_fill": p8_fill,
     "p9_found": p9_found,
     "p9_spans": p9_spans,
     "p10_found": p10_found,
