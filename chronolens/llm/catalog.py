@@ -11,6 +11,7 @@ from chronolens.llm.edited import key_pairs, similar_pairs
 from chronolens.llm.leaks import leaks
 from chronolens.llm.neighbours import nearest
 from chronolens.llm.packing import CAPACITY, pack, token_counts
+from chronolens.llm.personal import detector, redact, spans
 from chronolens.llm.subjects import subjects_of
 from chronolens.sources.staging import stage
 from chronolens.sources.tables import table
@@ -20,6 +21,31 @@ def _captures(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "sub_frame_data").select(F.col("frame_id").alias("key"), F.col("embedding").alias("vector"))
 
 
+def _screen_texts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(screens by id, titles by sub_frame_id, distinct titles)."""
+    screens = table(spark, sf, "ocr_text").select(F.lit("ocr_text").alias("table_name"), F.col("id").cast("string").alias("record_key"), "text")
+    subs = table(spark, sf, "sub_frames").select("sub_frame_id", "window_name")
+    return screens, subs, subs.select(F.col("window_name").alias("text")).where("text is not null").distinct()
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    screens, subs, titles = _screen_texts(spark, sf)
+    model = detector(screens.select("text").unionByName(titles))
+    in_screens = spans(screens, model).select("table_name", "record_key", "kind", "start_pos")
+    in_titles = spans(titles.select(F.col("text").alias("window_name"), "text"), model).join(subs, "window_name")
+    in_titles = in_titles.select(F.lit("sub_frames").alias("table_name"), F.col("sub_frame_id").alias("record_key"), "kind", "start_pos")
+    return in_screens.unionByName(in_titles).withColumnRenamed("kind", "pii_kind").distinct()
+
+
+def p1_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    """Every screen text and title with typed placeholders in place of what p1_found lists."""
+    screens, subs, titles = _screen_texts(spark, sf)
+    model = detector(screens.select("text").unionByName(titles))
+    clean = redact(titles.select(F.col("text").alias("window_name"), "text"), model)
+    named = subs.join(clean, "window_name", "left").select(F.lit("sub_frames").alias("table_name"), F.col("sub_frame_id").alias("record_key"), "text")
+    return redact(screens, model).unionByName(named).distinct()
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     centroids = table(spark, sf, "activity_clusters").select(F.concat(F.lit("cluster:"), F.col("id").cast("string")).alias("key"), F.col("centroid").alias("vector"))
     pairs = nearest(_captures(spark, sf), centroids)
@@ -140,6 +166,8 @@ def p10_composition(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_redacted": p1_redacted,
     "p4_found": p4_found,
     "p4_clusters": p4_clusters,
     "p6_found": p6_found,
