@@ -1,6 +1,6 @@
 """All core queries by name."""
 
-from chronolens.plans import upkeep
+from chronolens.plans import analytics, lookups, upkeep
 
-QUERIES = {**upkeep.QUERIES}
-ORACLE = {**upkeep.ORACLE}
+QUERIES = {**upkeep.QUERIES, **analytics.QUERIES, **lookups.QUERIES}
+ORACLE = {**upkeep.ORACLE, **analytics.ORACLE, **lookups.ORACLE}
