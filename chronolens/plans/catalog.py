@@ -1,6 +1,6 @@
 """All core queries by name."""
 
-from chronolens.plans import analytics, lookups, upkeep
+from chronolens.plans import analytics, ingest, lookups, search, upkeep
 
-QUERIES = {**upkeep.QUERIES, **analytics.QUERIES, **lookups.QUERIES}
-ORACLE = {**upkeep.ORACLE, **analytics.ORACLE, **lookups.ORACLE}
+QUERIES = {**upkeep.QUERIES, **analytics.QUERIES, **lookups.QUERIES, **search.QUERIES, **ingest.QUERIES}
+ORACLE = {**upkeep.ORACLE, **analytics.ORACLE, **lookups.ORACLE, **search.ORACLE, **ingest.ORACLE}
