@@ -1,0 +1,21 @@
+"""Every core query against its SQL twin, or at least run, on the smallest tables."""
+
+import pytest
+from compare import same
+
+from chronolens.plans import catalog
+
+
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+def test_query(spark, sf, duck, name):
+    df = catalog.QUERIES[name](spark, sf)
+    if name in catalog.ORACLE:
+        same(df, duck, catalog.ORACLE[name])
+    else:
+        assert df.columns and df.count() > 0
+
+
+def test_entry(spark):
+    import __spark_entry__ as e
+
+    assert set(e.oracle_sql()) <= set(e.queries())
