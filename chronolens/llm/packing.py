@@ -4,7 +4,8 @@ Documents are measured in tokens, cut only where they exceed the capacity, and
 spread over groups of bounded size. Each group is packed best fit, largest
 first; bins that are nearly full are final, underfull bins go on as items of
 the next round, where several groups' bins meet in one. Rounds follow until one
-group is left, so every task holds a bounded number of items.
+group is left or the bins left over hardly combine any more, so every task holds
+a bounded number of items.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ from chronolens.llm.arrow_groups import grouped
 from chronolens.sources.shipping import ship
 from chronolens.sources.staging import stage
 
-#: Tokens a container holds; items a group holds; fill from which a bin is final; groups that merge into one.
-CAPACITY, GROUP_ITEMS, NEARLY_FULL, FAN_IN = 2_048, 20_000, 0.995, 8
+#: Tokens a container holds; items a group holds; fill from which a bin is final; share of
+#: items that a round must save for another to follow.
+CAPACITY, GROUP_ITEMS, NEARLY_FULL, SAVING = 2_048, 20_000, 0.995, 0.1
 
 
 def token_counts(documents: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
@@ -112,7 +114,8 @@ def pack(sized: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_IT
     whole = pieces.where(F.col("n_tokens") == capacity).withColumn("bin", F.concat(F.lit("w-"), "item"))
     items = pieces.where((F.col("n_tokens") < capacity) & (F.col("n_tokens") > 0)).select("item", F.col("n_tokens").alias("size"))
     homes = None  # the item's bin so far, as (item, bin)
-    groups, turn = max(1, -(-items.count() // group_items)), 0
+    left, turn = items.count(), 0
+    groups = max(1, -(-left // group_items))
     while True:
         packed = stage(_round(items, turn, groups, capacity, last=groups == 1), f"packed-{turn}")
         moved = packed.select("item", "bin", "done")
@@ -123,9 +126,12 @@ def pack(sized: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_IT
             homes = homes.where("done").unionByName(going.join(moved.withColumnRenamed("item", "was"), "was").select("item", "bin", "done"))
         if groups == 1:
             break
-        homes = stage(homes, f"homes-{turn}")
         items = packed.where(~F.col("done")).groupBy("bin").agg(F.max("fill").alias("size")).select(F.col("bin").alias("item"), "size")
-        groups, turn = max(-(-groups // FAN_IN), -(-items.count() // group_items) if turn < 20 else 1), turn + 1
+        before, left = left, items.count()
+        if not left or left > (1 - SAVING) * before:
+            break
+        homes = stage(homes, f"homes-{turn}")
+        groups, turn = max(1, -(-left // group_items)), turn + 1
     placed = pieces.join(homes.select("item", "bin"), "item")
     empty = pieces.where(F.col("n_tokens") == 0).withColumn("bin", F.lit(None).cast("string"))
     shape = lambda df: df.select(F.col("bin").alias("container"), "doc_id", "piece", "first_token", "n_tokens")
