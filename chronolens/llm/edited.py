@@ -137,6 +137,7 @@ class Forest:
         """(query, node, distance) within each query's radius, following only edges within it."""
         query = np.arange(len(shard))
         node = self.root[shard]
+        radius = np.minimum(radius, 128)  # no two sketches are further apart
         while len(query):
             d = self.distance(query, node, t1, t2)
             hit = d <= radius[query]
