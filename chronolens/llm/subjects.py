@@ -48,7 +48,7 @@ def sentences(documents: DataFrame, titles: list[str]) -> DataFrame:
     """
     docs = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
     if titles:
-        pattern = "(?iu)" + "|".join(r"\s+".join(re.escape(w) for w in t.split()) for t in sorted(titles, key=len, reverse=True))
+        pattern = r"(?iu)(?<![\p{L}\p{N}])(?:" + "|".join(r"\s+".join(re.escape(w) for w in t.split()) for t in sorted(titles, key=len, reverse=True)) + r")(?![\p{L}\p{N}])"
         docs = docs.withColumn("text", F.regexp_replace("text", pattern, "_"))
     sections = docs.select("doc_id", F.posexplode(F.split("text", r"\n\s*\n|\n(?=#)")).alias("section", "body"))
     parts = sections.select("doc_id", "section", F.posexplode(F.split("body", r"(?<=[.!?;])\s+|\n+")).alias("sentence", "s")).where(F.length("s") > 2)
@@ -82,16 +82,23 @@ class Lexicon:
     def votes(self, grams: np.ndarray, row: np.ndarray, rows: int, n: int) -> np.ndarray:
         known, entry = self.find(grams)
         flat = np.bincount(row[known] * n + self.subject[entry], self.weight[entry], rows * n)
-        return flat.reshape(rows, n)
+        return flat.astype(float).reshape(rows, n)
 
 
 def first_lexicon(documents: DataFrame, labels: DataFrame, titles: list[str], least: int = 3, share: float = 0.4) -> DataFrame:
-    """(h, subject, weight) from the labelled documents; copies of a text count once."""
+    """(h, subject, weight) from the labelled documents; copies of a text count once.
+
+    A gram must be labelled with its subject in ``share`` of its documents, and in
+    clearly more than the subject's own part of all labels.
+    """
     each = labels.groupBy("doc_id").agg(F.collect_set("subject").alias("of"))
     texts = documents.join(each, "doc_id").withColumn("__text", F.xxhash64("text")).dropDuplicates(["__text"])
     grams = sentences(texts, titles).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list(F.concat("words", "pairs")))).alias("g"))
     rows = grams.join(each, "doc_id").select(F.explode("g").alias("h"), "of").select("h", F.explode("of").alias("subject"), (1.0 / F.size("of")).alias("w"))
-    return _best(rows.groupBy("h", "subject").agg(F.sum("w").alias("w")), least, share)
+    parts = each.select(F.explode("of").alias("subject"), (1.0 / F.size("of")).alias("w")).groupBy("subject").agg(F.sum("w").alias("w"))
+    usual = parts.select("subject", (F.col("w") / F.sum("w").over(Window.partitionBy())).alias("usual"))  # one row a subject
+    found = _best(rows.groupBy("h", "subject").agg(F.sum("w").alias("w")), least, share)
+    return found.join(usual, "subject").where(F.col("part") >= F.col("usual") + 0.3 * (1 - F.col("usual"))).select("h", "subject", "weight")
 
 
 def _best(counts: DataFrame, least: int, share: float, covered: float = 0.0) -> DataFrame:
@@ -101,7 +108,7 @@ def _best(counts: DataFrame, least: int, share: float, covered: float = 0.0) ->
     most = most.where((F.col("n") >= least) & (F.col("n") >= covered * F.col("all"))).select("h", "n", F.col("r")[0].alias("top"), F.coalesce(F.get("r", F.lit(1))["w"], F.lit(0.0)).alias("next"))
     part = F.col("top.w") / F.col("n")
     kept = most.where((F.col("n") >= least) & (part >= share) & (F.col("top.w") > 1.3 * F.col("next"))).orderBy(F.desc("n"), "h").limit(LEXICON_MAX)
-    return kept.select("h", F.col("top.subject").cast("int").alias("subject"), F.log((part + 0.01) / (1.01 - part) * 10 + 1).alias("weight"))
+    return kept.select("h", F.col("top.subject").cast("int").alias("subject"), F.log((part + 0.01) / (1.01 - part) * 10 + 1).alias("weight"), part.alias("part"))
 
 
 def second_lexicon(grams: DataFrame, first: DataFrame, n: int, least: int = 3, share: float = 0.8, covered: float = 0.5) -> DataFrame:
