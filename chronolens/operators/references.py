@@ -35,8 +35,8 @@ _PLACE = ["stem", "width", "block"]
 
 
 def parent_runs(parents: DataFrame) -> DataFrame:
-    """Runs of consecutive keys: first_number, last_number, newest (largest created_us in
-    the run; null if some parent's is unknown, since that run cannot rule out a late key)."""
+    """Runs of consecutive keys: first_number, last_number, newest (the largest known
+    created_us in the run; a parent without one is never later than a record)."""
     keys = _coded(parents.groupBy("ref_key").agg(F.min("created_us").alias("created_us")))
     order = Window.partitionBy(*_PLACE).orderBy("number")
     return (
