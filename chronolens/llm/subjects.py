@@ -29,12 +29,14 @@ from chronolens.sources.staging import stage
 LEXICON_MAX = 1_000_000
 FUNCTIONS = ["words", "pairs", "section", "source", "address"]
 CONTEXT = [2, 3, 4]
+# what parts words: white space and the punctuation that texts use, but no hyphen
+_BETWEEN = r"[\x00-\x2c\x2e\x2f\x3a-\x40\x5b-\x60\x7b-\xa9\xab-\xb4\xb6-\xb9\xbb-\xbf\u2010-\u206f\u3000-\u303f]+"
 _ADDRESS = r"https?://[^\s/]+|\b[a-z]+-[0-9]{2,}[0-9a-z]*\b"
 
 
 def _grams(sentence: Column) -> Column:
     """Hashes of the distinct words and neighbouring word pairs of a sentence."""
-    tokens = F.filter(F.split(F.lower(sentence), r"[^\p{L}\p{N}-]+"), lambda w: w != "")
+    tokens = F.filter(F.split(F.lower(sentence), _BETWEEN), lambda w: w != "")
     pairs = lambda t: F.when(F.size(t) > 1, F.zip_with(F.slice(t, 1, F.size(t) - 1), F.slice(t, 2, F.size(t) - 1), lambda a, b: F.xxhash64(a, b)))
     one = F.transform(tokens, lambda w: F.xxhash64(w))
     return F.struct(F.array_distinct(one).alias("words"), F.coalesce(F.array_distinct(pairs(tokens)), F.array().cast("array<long>")).alias("pairs"))
@@ -48,10 +50,10 @@ def sentences(documents: DataFrame, titles: list[str]) -> DataFrame:
     """
     docs = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
     if titles:
-        pattern = r"(?iu)(?<![\p{L}\p{N}])(?:" + "|".join(r"\s+".join(re.escape(w) for w in t.split()) for t in sorted(titles, key=len, reverse=True)) + r")(?![\p{L}\p{N}])"
+        pattern = r"(?i)\b(?:" + "|".join(r"\s+".join(re.escape(w) for w in t.split()) for t in sorted(titles, key=len, reverse=True)) + r")\b"
         docs = docs.withColumn("text", F.regexp_replace("text", pattern, "_"))
     sections = docs.select("doc_id", F.posexplode(F.split("text", r"\n\s*\n|\n(?=#)")).alias("section", "body"))
-    parts = sections.select("doc_id", "section", F.posexplode(F.split("body", r"(?<=[.!?;])\s+|\n+")).alias("sentence", "s")).where(F.length("s") > 2)
+    parts = sections.select("doc_id", "section", F.posexplode(F.split("body", r"[.!?;]\s+|\n+")).alias("sentence", "s")).where(F.length("s") > 2)
     grams = parts.select("doc_id", "section", "sentence", _grams(F.col("s")).alias("g"))
     return grams.select("doc_id", "section", "sentence", "g.words", "g.pairs")
 
@@ -207,8 +209,7 @@ def subjects_of(documents: DataFrame, subjects: DataFrame, labels: DataFrame, sh
     known = labels.join(numbers, "subject_code").select("doc_id", "subject").distinct()
     grams = sentences(docs, titles)
     first = stage(first_lexicon(docs, known, titles), "lexicon")
-    once = stage(second_lexicon(grams, first, n), "lexicon")
-    lexicon = stage(second_lexicon(grams, once, n), "lexicon")
+    lexicon = stage(second_lexicon(grams, first, n), "lexicon")
     votes = stage(lexicon_votes(grams, lexicon, n), "sentence-votes")
 
     own = F.coalesce("pairs", "words")
