@@ -1,7 +1,8 @@
-"""Leader clustering of a stream of vectors, one app and day after the other."""
+"""Leader clustering of a stream of vectors, and sequences of an app or device and day."""
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,45 +13,59 @@ from pyspark.sql import functions as F
 from chronolens.sources.shipping import ship
 
 
+class Leaders:
+    """Running means of clusters in order of their first vector; arrays grow in steps."""
+
+    def __init__(self, threshold: float):
+        self.threshold, self.n = threshold, 0
+        self.sums = self.units = np.zeros((0, 0))
+
+    def assign(self, vectors: np.ndarray) -> np.ndarray:
+        """Cluster number of each vector in order: the best running mean that is similar
+        enough, else a new one. Zero vectors always start their own."""
+        out = np.empty(len(vectors), np.int64)
+        for i, v in enumerate(vectors):
+            norm = np.linalg.norm(v)
+            best = -1
+            if norm and self.n:
+                sims = self.units[: self.n] @ (v / norm)
+                top = int(np.argmax(sims))
+                best = top if sims[top] >= self.threshold else -1
+            if best < 0:
+                best, self.n = self.n, self.n + 1
+                if best == len(self.sums):
+                    more = np.zeros((max(16, best), len(v)))
+                    self.sums, self.units = (np.concatenate([a.reshape(-1, len(v)), more]) for a in (self.sums, self.units))
+                self.sums[best], self.units[best] = v, v / norm if norm else v
+            else:
+                self.sums[best] += v
+                self.units[best] = self.sums[best] / max(np.linalg.norm(self.sums[best]), 1e-12)
+            out[i] = best
+        return out
+
+
 def assign_leaders(vectors: np.ndarray, threshold: float) -> np.ndarray:
-    """Cluster number of each vector in order: the best running mean that is similar
-    enough, else a new one. Zero vectors always start their own."""
-    sums: list[np.ndarray] = []
-    units: list[np.ndarray] = []
-    out = np.empty(len(vectors), np.int64)
-    for i, v in enumerate(vectors):
-        norm = np.linalg.norm(v)
-        best = -1
-        if norm and units:
-            sims = np.stack(units) @ (v / norm)
-            top = int(np.argmax(sims))
-            best = top if sims[top] >= threshold else -1
-        if best < 0:
-            best = len(sums)
-            sums.append(v.copy())
-            units.append(v / norm if norm else v)
-        else:
-            sums[best] = sums[best] + v
-            units[best] = sums[best] / max(np.linalg.norm(sums[best]), 1e-12)
-        out[i] = best
-    return out
+    """Cluster numbers of ``vectors`` from an empty state."""
+    return Leaders(threshold).assign(vectors)
 
 
 def leader_clusters(rows: DataFrame, threshold: float = 0.82) -> DataFrame:
-    """(app, day, key, leader_no) for (app, day, us, key, vector).
+    """(app, day, key, leader_no) from a stream of (app, day, us, key, vector); clusters outlast days.
 
-    Order matters, so a group is worked through by one task; the day in the key
-    bounds it. Ties in time go by key; nulls in vector are left out.
+    State is the running means of an app. Rows of a micro-batch are put in order,
+    ties in time by key; across batches, arrival is the order. Nulls in vector are left out.
     """
     ship(rows.sparkSession)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["us", "key"])
-        numbers = assign_leaders(np.stack(pdf["vector"].to_numpy()).astype(float), threshold)
-        return pdf.assign(leader_no=numbers)[["app", "day", "key", "leader_no"]]
+    def update(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held = pickle.loads(state.get[0]) if state.exists else Leaders(threshold)
+        pdf = pd.concat(list(parts)).sort_values(["us", "key"])
+        numbers = held.assign(np.stack(pdf["vector"].to_numpy()).astype(float))
+        state.update((pickle.dumps(held),))
+        yield pdf.assign(leader_no=numbers)[["app", "day", "key", "leader_no"]]
 
     clean = rows.where("vector IS NOT NULL").select("app", "day", "us", "key", "vector")
-    return clean.groupBy("app", "day").applyInPandas(one, "app string, day long, key string, leader_no long")
+    return clean.groupBy("app").applyInPandasWithState(update, "app string, day long, key string, leader_no long", "means binary", "append", "NoTimeout")
 
 
 def last_kept(values: np.ndarray, threshold: float) -> np.ndarray:

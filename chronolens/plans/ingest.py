@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from chronolens.plans.analytics import DAY_US
 from chronolens.plans.prelude import sql
 from chronolens.sources import domain
-from chronolens.streaming.clusters import cluster_days
+from chronolens.streaming.clusters import cluster_stream
 from chronolens.streaming.sessions import kind_of, offline_sessions, online_sessions
-from chronolens.streaming.sources import UpsertSink, drain, new_path, table_stream
+from chronolens.streaming.sources import UpsertSink, drain, new_path, ordered_stream, table_stream
 
 
 def _assigned(rows: DataFrame) -> DataFrame:
@@ -51,12 +51,13 @@ def stream_latest_assignments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def online_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    """Online clusters of each app and day: captures in order, labels when they were assigned."""
+    """Online clusters of each app over all its days: captures in order, labels when they were assigned."""
     when = domain.sub_frames(spark, sf).where("us IS NOT NULL").select(F.col("sub_frame_id").alias("key"), "us")
     captures = domain.vectors(spark, sf).join(when, "key").select("app", F.floor(F.col("us") / DAY_US).alias("day"), "us", F.lit(0).alias("kind"), "key", "vector", F.lit(None).cast("string").alias("label"))
     named = domain.assignments(spark, sf).where("label <> ''").select(F.col("sub_frame_id").alias("key"), F.col("us").alias("at"), "label")
     labels = captures.select("app", "day", "us", "key").join(named, "key").select("app", "day", F.greatest("us", "at").alias("us"), F.lit(1).alias("kind"), "key", F.array().cast("array<double>").alias("vector"), "label")
-    return cluster_days(captures.unionByName(labels))
+    events = ordered_stream(captures.unionByName(labels), ["us", "kind", "key"], "online-clusters")
+    return drain(cluster_stream(events), "online-clusters")
 
 
 QUERIES = {f.__name__: f for f in (stream_sessions, sessions_batch, stream_event_windows, stream_latest_assignments, online_clusters)}

@@ -12,6 +12,7 @@ from chronolens.plans.analytics import DAY_US, _sessions
 from chronolens.plans.prelude import sql
 from chronolens.sources import domain
 from chronolens.sources.tables import table
+from chronolens.streaming.sources import drain, ordered_stream
 
 QUERY_WORDS, K = ["harbour", "report", "keyboard", "balance"], 20
 RELATED, WINDOW_APP = ["tern mail", "slate notes"], "tern mail"
@@ -150,9 +151,10 @@ def nearest_centroid(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query()
 def leaders(spark: SparkSession, sf: str) -> DataFrame:
-    """Leader clusters of each app and UTC day."""
+    """Leader clusters of each app over all its days."""
     when = domain.sub_frames(spark, sf).where("us IS NOT NULL").select(F.col("sub_frame_id").alias("key"), "us", F.floor(F.col("us") / DAY_US).alias("day"))
-    return leader_clusters(domain.vectors(spark, sf).join(when, "key"))
+    rows = domain.vectors(spark, sf).join(when, "key").select("app", "day", "us", "key", "vector")
+    return drain(leader_clusters(ordered_stream(rows, ["us", "key"], "leaders")), "leaders")
 
 
 _LABELS = "l AS (SELECT app, label, count(*) AS n FROM asg WHERE label <> '' GROUP BY 1, 2)"

@@ -17,99 +17,137 @@ from chronolens.sources.shipping import ship
 #: pending group waits.
 COMMITTED, CANDIDATE, PENDING, STRONG = 0.82, 0.78, 0.78, 0.90
 BLEND_STRONG, BLEND_FOLLOWER, PROMOTE_AT, WAIT_S = 0.05, 0.02, 3, 1_800
+_STATUS = ["pending", "candidate", "committed"]
 
 
-def _similarity(a: np.ndarray, b: np.ndarray) -> float:
-    norm = float(np.linalg.norm(a) * np.linalg.norm(b))
-    return float(a @ b) / norm if norm else 0.0
+def _unit(v: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(v)
+    return v / norm if norm else np.zeros(len(v))
 
 
 @dataclass
 class Group:
-    centroid: np.ndarray
-    members: list[str]
-    seen_us: int
+    leader: str
+    count: int = 1
     label: str | None = None
     status: str = "pending"
 
 
 @dataclass
 class AppClusters:
-    """All groups of one app; events come in order."""
+    """All groups of one app; events come in order. Of its members a group keeps the leader and a count.
 
-    groups: list[Group] = field(default_factory=list)
+    Row i of the arrays belongs to ``groups[i]``: centroid, its unit vector, place in
+    ``_STATUS`` and last moment; they are longer than ``groups``, to grow in steps.
+    """
 
-    def _best(self, v: np.ndarray, status: str, least: float, since: int | None = None) -> tuple[int, float] | None:
-        scored = [(_similarity(v, g.centroid), -i) for i, g in enumerate(self.groups) if g.status == status and (since is None or g.seen_us >= since)]
-        if not scored or max(scored)[0] < least:
+    groups: list[Group] = field(default_factory=list)
+    waiting: dict[str, int] = field(default_factory=dict)  # pending groups by leader
+    centroids: np.ndarray | None = None
+    units: np.ndarray | None = None
+    stage: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int8))
+    seen_us: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+
+    def _best(self, sims: np.ndarray, status: str, least: float, since: int | None = None) -> tuple[int, float] | None:
+        n = len(self.groups)
+        open_ = self.stage[:n] == _STATUS.index(status)
+        if since is not None:
+            open_ &= self.seen_us[:n] >= since
+        at = np.flatnonzero(open_)
+        if not len(at):
             return None
-        sim, i = max(scored)
-        return -i, sim
+        i = int(at[np.argmax(sims[at])])  # ties: the older group
+        return (i, float(sims[i])) if sims[i] >= least else None
+
+    def _move(self, i: int, centroid: np.ndarray) -> None:
+        self.centroids[i], self.units[i] = centroid, _unit(centroid)
+
+    def _turn(self, i: int, status: str) -> None:
+        self.groups[i].status, self.stage[i] = status, _STATUS.index(status)
+
+    def _open(self, key: str, us: int, v: np.ndarray) -> int:
+        i = len(self.groups)
+        if i == len(self.stage):
+            more = max(16, i)
+            grown = lambda a: np.concatenate([a, np.zeros((more, *a.shape[1:]), a.dtype)])
+            if self.centroids is None:
+                self.centroids, self.units = np.zeros((0, len(v))), np.zeros((0, len(v)))
+            self.centroids, self.units, self.stage, self.seen_us = (grown(a) for a in (self.centroids, self.units, self.stage, self.seen_us))
+        self.groups.append(Group(key))
+        self.waiting.setdefault(key, i)
+        self.seen_us[i] = us
+        self._move(i, v)
+        self._turn(i, "pending")
+        return i
 
     def capture(self, key: str, us: int, v: np.ndarray) -> tuple[int, str]:
         """(group, status) of a capture: committed, then candidate, then pending, else its own leader."""
-        if found := self._best(v, "committed", COMMITTED):
-            g = self.groups[found[0]]
+        sims = self.units[: len(self.groups)] @ _unit(v) if self.groups else np.zeros(0)
+        if found := self._best(sims, "committed", COMMITTED):
             if found[1] >= STRONG:
-                g.centroid = (1 - BLEND_STRONG) * g.centroid + BLEND_STRONG * v
-        elif found := self._best(v, "candidate", CANDIDATE):
-            g = self.groups[found[0]]
-        elif found := self._best(v, "pending", PENDING, us - WAIT_S * 1_000_000):
-            g = self.groups[found[0]]
-            g.centroid = (1 - BLEND_FOLLOWER) * g.centroid + BLEND_FOLLOWER * v
+                self._move(found[0], (1 - BLEND_STRONG) * self.centroids[found[0]] + BLEND_STRONG * v)
+        elif found := self._best(sims, "candidate", CANDIDATE):
+            pass
+        elif found := self._best(sims, "pending", PENDING, us - WAIT_S * 1_000_000):
+            self._move(found[0], (1 - BLEND_FOLLOWER) * self.centroids[found[0]] + BLEND_FOLLOWER * v)
         else:
-            self.groups.append(Group(v.astype(float), [key], us))
-            return len(self.groups) - 1, "pending"
-        g.members.append(key)
-        g.seen_us = max(g.seen_us, us)
-        if g.status == "candidate" and len(g.members) >= PROMOTE_AT:
-            g.status = "committed"
-        return found[0], g.status
+            return self._open(key, us, v), "pending"
+        i = found[0]
+        g = self.groups[i]
+        g.count += 1
+        self.seen_us[i] = max(self.seen_us[i], us)
+        if g.status == "candidate" and g.count >= PROMOTE_AT:
+            self._turn(i, "committed")
+        return i, g.status
 
     def name(self, key: str, label: str) -> None:
-        """A label for the pending group that ``key`` leads: it becomes a candidate, or joins its namesake."""
-        for g in self.groups:
-            if g.status == "pending" and g.members[0] == key:
-                g.label, g.status = label, "committed" if len(g.members) >= PROMOTE_AT else "candidate"
+        """A label for the pending group that ``key`` leads: it becomes a candidate."""
+        if (i := self.waiting.pop(key, None)) is not None:
+            self.groups[i].label = label
+            self._turn(i, "committed" if self.groups[i].count >= PROMOTE_AT else "candidate")
 
 
 def replay(app: AppClusters, events: pd.DataFrame) -> list[list]:
-    """Rows (key, group_no, status, label) for the captures among ``events`` (us, kind, key, vector, label)."""
+    """Rows (day, key, group_no, status, label) for the captures among ``events`` (day, us, kind, key, vector, label)."""
     out = []
-    for us, kind, key, vector, label in events.sort_values(["us", "kind", "key"])[["us", "kind", "key", "vector", "label"]].itertuples(index=False):
+    for day, us, kind, key, vector, label in events.sort_values(["us", "kind", "key"])[["day", "us", "kind", "key", "vector", "label"]].itertuples(index=False):
         if kind == 0:
             number, status = app.capture(key, int(us), np.asarray(vector, float))
-            out.append([key, number, status, app.groups[number].label])
+            out.append([day, key, number, status, app.groups[number].label])
         else:
             app.name(key, label)
     return out
 
 
+_NAMES = ["app", "day", "key", "group_no", "status", "label"]
 _OUT = "app string, day long, key string, group_no long, status string, label string"
 
 
 def cluster_days(events: DataFrame) -> DataFrame:
-    """Batch twin: each (app, day) of (app, day, us, kind, key, vector, label) from an empty state.
+    """Batch twin for small tables: all days of each app of (app, day, us, kind, key, vector, label) in one task.
 
     kind 0 is a capture, 1 a label for the group that the key leads.
     """
     ship(events.sparkSession)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = replay(AppClusters(), pdf)
-        return pd.DataFrame([[pdf["app"].iloc[0], pdf["day"].iloc[0], *r] for r in rows], columns=["app", "day", "key", "group_no", "status", "label"])
+        return pd.DataFrame([[pdf["app"].iloc[0], *r] for r in replay(AppClusters(), pdf)], columns=_NAMES)
 
-    return events.groupBy("app", "day").applyInPandas(one, _OUT)
+    return events.groupBy("app").applyInPandas(one, _OUT)
 
 
 def cluster_stream(events: DataFrame) -> DataFrame:
-    """The same on a stream; state is the groups of an (app, day), dropped by none but a later day's key."""
+    """The same on a stream; state is the groups of an app, which outlast every day.
+
+    Rows of a micro-batch are put in order; across batches, arrival is the order
+    (``ordered_stream`` makes it the order of time and bounds a batch).
+    """
     ship(events.sparkSession)
 
     def update(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         app = pickle.loads(state.get[0]) if state.exists else AppClusters()
         rows = replay(app, pd.concat(list(parts)))
         state.update((pickle.dumps(app),))
-        yield pd.DataFrame([[*key, *r] for r in rows], columns=["app", "day", "key", "group_no", "status", "label"])
+        yield pd.DataFrame([[*key, *r] for r in rows], columns=_NAMES)
 
-    return events.groupBy("app", "day").applyInPandasWithState(update, _OUT, "groups binary", "append", "NoTimeout")
+    return events.groupBy("app").applyInPandasWithState(update, _OUT, "groups binary", "append", "NoTimeout")

@@ -8,7 +8,10 @@ from urllib.parse import urlparse
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronolens.sources.staging import new_path
+from chronolens.sources.staging import new_path, stage
+
+#: Rows of a micro-batch, about so many, where a stream is made from a table in order.
+ROWS_A_BATCH = 50_000
 
 
 def table_stream(spark: SparkSession, sf: str, name: str, files_a_batch: int | None = None) -> DataFrame:
@@ -22,6 +25,24 @@ def table_stream(spark: SparkSession, sf: str, name: str, files_a_batch: int | N
     return reader.parquet(path)
 
 
+def ordered_stream(rows: DataFrame, order: list[str], label: str, rows_a_batch: int = ROWS_A_BATCH) -> DataFrame:
+    """``rows`` as a stream whose micro-batches follow each other by ``order``, each about
+    ``rows_a_batch`` rows: files of consecutive ranges, read one a batch by their times."""
+    spark = rows.sparkSession
+    whole = stage(rows, f"{label}-rows")
+    path = new_path(spark, f"{label}-ordered")
+    whole.repartitionByRange(max(1, -(-whole.count() // rows_a_batch)), *order).write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted((f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")), key=lambda f: f.getName())
+    newest = max((fs.getFileStatus(f).getModificationTime() for f in files), default=0)
+    for i, f in enumerate(files):
+        fs.setTimes(f, newest + i, -1)
+        if fs.getFileStatus(f).getModificationTime() != newest + i:
+            raise RuntimeError(f"{path}: this file system keeps no given file times, so micro-batches would have no order")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     """Run ``stream`` over all that is there, into a table in the shared folder, and read it."""
     spark = stream.sparkSession
