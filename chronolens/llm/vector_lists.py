@@ -24,7 +24,7 @@ from chronolens.sources.shipping import ship
 SAMPLE_ROWS = 32_768
 #: Lists for so many rows one; LISTS_MAX bounds what is broadcast (float32).
 ROWS_A_LIST, LISTS_MAX = 96, 8_192
-#: Smallest keys that an entry for equal vectors keeps.
+#: Smallest keys that an entry for equal vectors keeps where a caller names no number.
 KEYS_KEPT = 6
 
 
@@ -111,8 +111,8 @@ def fit_plain(points: np.ndarray, n_lists: int) -> np.ndarray:
 ENTRY = "list int, kind int, k1 long, k2 long, keys array<string>, vector array<float>"
 
 
-def _merge(kind: np.ndarray, k1: np.ndarray, k2: np.ndarray, keys: list[list[str]]) -> tuple[np.ndarray, list[list[str]]]:
-    """Rows of equal vectors become one: (kept rows, their smallest keys). Queries
+def _merge(kind: np.ndarray, k1: np.ndarray, k2: np.ndarray, keys: list[list[str]], kept: int) -> tuple[np.ndarray, list[list[str]]]:
+    """Rows of equal vectors become one: (kept rows, their ``kept`` smallest keys). Queries
     that are no candidates (kind 1) are never merged."""
     alone = np.where(kind == 0, 0, np.arange(1, len(kind) + 1))
     _, first, back, count = np.unique(np.stack([alone, k1, k2]), axis=1, return_index=True, return_inverse=True, return_counts=True)
@@ -120,12 +120,12 @@ def _merge(kind: np.ndarray, k1: np.ndarray, k2: np.ndarray, keys: list[list[str
     merged = [keys[i] for i in first]
     if len(first) < len(k1):
         for g in np.flatnonzero(count > 1):
-            merged[g] = sorted({x for i in np.flatnonzero(back == g) for x in keys[i]})[:KEYS_KEPT]
+            merged[g] = sorted({x for i in np.flatnonzero(back == g) for x in keys[i]})[:kept]
     return first, merged
 
 
-def to_lists(vectors: DataFrame, index: ListIndex) -> DataFrame:
-    """Entries of every list, sorted by list inside their partition."""
+def to_lists(vectors: DataFrame, index: ListIndex, kept: int = KEYS_KEPT) -> DataFrame:
+    """Entries of every list, sorted by list inside their partition; ``kept`` keys for equal vectors."""
     shared = ship(vectors.sparkSession).broadcast(index)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +135,7 @@ def to_lists(vectors: DataFrame, index: ListIndex) -> DataFrame:
                 continue
             column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             kind, k1, k2 = (column[n].to_numpy() for n in ("kind", "k1", "k2"))
-            rows, keys = _merge(kind, k1, k2, [[x] for x in column["key"].to_pylist()])
+            rows, keys = _merge(kind, k1, k2, [[x] for x in column["key"].to_pylist()], kept)
             raw = matrix(column["vector"], index.dim)[rows]
             at, to = index.lists_of(unit(raw.astype(np.float64)).astype(np.float32))
             flat = raw[at].reshape(-1)
@@ -161,7 +161,7 @@ class Entries:
     units: np.ndarray
 
     @staticmethod
-    def of(table: pa.Table, dim: int) -> Entries:
+    def of(table: pa.Table, dim: int, kept: int = KEYS_KEPT) -> Entries:
         kind, k1, k2 = (table.column(n).to_numpy() for n in ("kind", "k1", "k2"))
-        rows, keys = _merge(kind, k1, k2, table.column("keys").to_pylist())
+        rows, keys = _merge(kind, k1, k2, table.column("keys").to_pylist(), kept)
         return Entries(kind[rows], k1[rows], k2[rows], keys, unit(matrix(table.column("vector"), dim)[rows].astype(np.float64)))
