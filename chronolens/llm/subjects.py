@@ -1,21 +1,26 @@
 """Subject areas from labelling functions and a model that learns their accuracy.
 
-A lexicon of words and word pairs is learnt in two Spark counts: over the hand
-labelled documents, then over the sentences of all documents, where a word
-counts by what the other words of its sentence say (its own vote left out). Five
-functions vote on each sentence: words, word pairs, its section, its document's
-source and the address the document names. A latent model learns from the counts
-of vote patterns how often each function is right. The last three speak of
-whole stretches of text and err together, so only the strongest of them enters
-a posterior. A sentence that the lexicon finds to be about some subject goes to
-the subject with the largest posterior, and a document has every subject that
-fills a given share of such sentences.
+Documents are cut into sentences of hashed words once; that table is staged and
+every later pass reads it. A lexicon of words and word pairs is learnt in Spark
+counts: over the hand labelled documents, then twice over the sentences of all
+documents, where a word counts by what the other words of its sentence say (its
+own vote left out). Five functions vote on each sentence: words, word pairs, its
+section, its document's source and the address the document names. A latent
+model learns from the counts of agreement patterns how often each function is
+right; it treats all subjects alike, so only which functions agree matters, and
+five functions have at most 203 such patterns. The last three functions speak of
+whole stretches of text and err together, so only the strongest of them enters a
+posterior. A sentence that the lexicon finds to be about some subject adds its
+posterior probabilities to its document's subjects, and a document has every
+subject whose sum, to the nearest whole sentence, fills a given share of such
+sentences.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -25,44 +30,95 @@ from pyspark.sql import functions as F
 from chronolens.sources.shipping import ship
 from chronolens.sources.staging import stage
 
-#: A lexicon beyond this is cut to its best supported entries before it is broadcast (16 bytes each).
-LEXICON_MAX = 1_000_000
+#: Entries of a lexicon that are broadcast at once (16 bytes each); a larger one takes more passes.
+LEXICON_PART = 1_000_000
+#: A list of subjects is a taxonomy; more are refused, never cut.
+SUBJECTS_MAX = 2_000
 FUNCTIONS = ["words", "pairs", "section", "source", "address"]
 CONTEXT = [2, 3, 4]
-# what parts words: white space and the punctuation that texts use, but no hyphen
-_BETWEEN = r"[\x00-\x2c\x2e\x2f\x3a-\x40\x5b-\x60\x7b-\xa9\xab-\xb4\xb6-\xb9\xbb-\xbf\u2010-\u206f\u3000-\u303f]+"
 _ADDRESS = r"https?://[^\s/]+|\b[a-z]+-[0-9]{2,}[0-9a-z]*\b"
+_SECTION, _SENTENCE, _WORD = re.compile(r"\n\s*\n|\n(?=#)"), re.compile(r"(?<=[.!?;])\s+|\n+"), re.compile(r"[\w-]+")
 
 
-def _grams(sentence: Column) -> Column:
-    """Hashes of the distinct words and neighbouring word pairs of a sentence."""
-    tokens = F.filter(F.split(F.lower(sentence), _BETWEEN), lambda w: w != "")
-    pairs = lambda t: F.when(F.size(t) > 1, F.zip_with(F.slice(t, 1, F.size(t) - 1), F.slice(t, 2, F.size(t) - 1), lambda a, b: F.xxhash64(a, b)))
-    one = F.transform(tokens, lambda w: F.xxhash64(w))
-    return F.struct(F.array_distinct(one).alias("words"), F.coalesce(F.array_distinct(pairs(tokens)), F.array().cast("array<long>")).alias("pairs"))
+class _Hashes(dict):
+    """64 bits for a word, each computed once in a task; emptied before it grows large."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = h = int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+        return h
+
+
+def _masked(titles: list[str]) -> re.Pattern | None:
+    """The subjects' own titles: they name folders and banners as often as matter."""
+    if not titles:
+        return None
+    return re.compile(r"(?i)(?<![^\W_])(?:" + "|".join(r"\s+".join(re.escape(w) for w in t.split()) for t in sorted(titles, key=len, reverse=True)) + r")(?![^\W_])")
+
+
+_SENTENCES = "doc_id long, section int, sentence int, words array<long>"
 
 
 def sentences(documents: DataFrame, titles: list[str]) -> DataFrame:
-    """(doc_id, section, sentence, words, pairs): hashed grams of every sentence of every document.
+    """(doc_id, section, sentence, words): the hashed words of every sentence, in order.
 
-    The subjects' own ``titles`` are taken out first: they name folders and
-    banners as often as matter.
+    ``titles`` are taken out of the texts first. Null ids and texts have no sentences.
     """
-    docs = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
-    if titles:
-        pattern = r"(?i)\b(?:" + "|".join(r"\s+".join(re.escape(w) for w in t.split()) for t in sorted(titles, key=len, reverse=True)) + r")\b"
-        docs = docs.withColumn("text", F.regexp_replace("text", pattern, "_"))
-    sections = docs.select("doc_id", F.posexplode(F.split("text", r"\n\s*\n|\n(?=#)")).alias("section", "body"))
-    parts = sections.select("doc_id", "section", F.posexplode(F.split("body", r"[.!?;]\s+|\n+")).alias("sentence", "s")).where(F.length("s") > 2)
-    grams = parts.select("doc_id", "section", "sentence", _grams(F.col("s")).alias("g"))
-    return grams.select("doc_id", "section", "sentence", "g.words", "g.pairs")
+    ship(documents.sparkSession)
+    masked = _masked(titles)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for batch in batches:
+            ids, sections, numbers, words, ends = [], [], [], [], [0]
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if masked:
+                    text = masked.sub(" ", text)
+                no = 0
+                for section, body in enumerate(_SECTION.split(text.replace("_", " "))):
+                    for s in _SENTENCE.split(body):
+                        if len(s) > 2:
+                            words += [hashes[w] for w in _WORD.findall(s.lower())]
+                            ids.append(doc_id)
+                            sections.append(section)
+                            numbers.append(no)
+                            ends.append(len(words))
+                            no += 1
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sections, pa.int32()), pa.array(numbers, pa.int32()), lists], names=["doc_id", "section", "sentence", "words"])
+
+    clean = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), "text")
+    return clean.mapInArrow(cut, _SENTENCES)
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values, row of each) of a list column."""
+    if not len(column):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     lengths = np.diff(column.offsets.to_numpy())
     return column.flatten().to_numpy(), np.repeat(np.arange(len(column)), lengths)
 
 
+def _once(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each (row, hash) once, in order of rows."""
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return h[fresh], row[fresh]
+
+
+def grams_of(column: pa.Array) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """((hash, row) of distinct words, (hash, row) of distinct neighbouring pairs) of hashed sentences."""
+    h, row = _lists(column)
+    beside = np.flatnonzero(row[1:] == row[:-1])
+    a, b = h[beside].view(np.uint64), h[beside + 1].view(np.uint64)
+    mixed = a * np.uint64(0x9E3779B97F4A7C15) ^ (b + np.uint64(0x165667B19E3779F9)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    mixed ^= mixed >> np.uint64(29)
+    return _once(h, row), _once(mixed.view(np.int64), row[beside])
+
+
 class Lexicon:
     """Sorted gram hashes with subject number and weight."""
 
@@ -81,10 +137,45 @@ class Lexicon:
         known = self.h[at] == grams
         return known, at[known]
 
-    def votes(self, grams: np.ndarray, row: np.ndarray, rows: int, n: int) -> np.ndarray:
-        known, entry = self.find(grams)
-        flat = np.bincount(row[known] * n + self.subject[entry], self.weight[entry], rows * n)
-        return flat.astype(float).reshape(rows, n)
+
+class Parts:
+    """A lexicon in parts small enough to broadcast one at a time: entries with h mod parts = p."""
+
+    def __init__(self, rows: DataFrame, part: int = LEXICON_PART):
+        self.rows, self.n = rows, max(1, -(-rows.count() // part))
+
+    def __iter__(self) -> Iterator:
+        context = ship(self.rows.sparkSession)
+        for p in range(self.n):
+            own = self.rows if self.n == 1 else self.rows.where(F.pmod("h", F.lit(self.n)) == p)
+            yield p, context.broadcast(Lexicon(own.select("h", "subject", "weight").toArrow()))
+
+
+_HITS = "doc_id long, section int, sentence int, pair boolean, subject int, weight double, hits int"
+
+
+def said(grams: DataFrame, parts: Parts, n: int) -> DataFrame:
+    """(doc_id, section, sentence, pair, subject, weight, hits): what the lexicon says of each
+    sentence by its words and by its pairs, one row for each subject named."""
+    out = None
+    for _, shared in parts:
+
+        def look(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            lexicon = shared.value
+            for batch in batches:
+                for pair, (h, row) in enumerate(grams_of(batch.column(3))):
+                    known, entry = lexicon.find(h)
+                    at, back = np.unique(row[known] * n + lexicon.subject[entry], return_inverse=True)
+                    take = pa.array(at // n)
+                    weight, hits = np.bincount(back, lexicon.weight[entry], len(at)), np.bincount(back, minlength=len(at)).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [*(batch.column(i).take(take) for i in range(3)), pa.array(np.full(len(at), bool(pair))), pa.array((at % n).astype(np.int32)), pa.array(weight.astype(float)), pa.array(hits)],
+                        names=["doc_id", "section", "sentence", "pair", "subject", "weight", "hits"],
+                    )
+
+        one = grams.mapInArrow(look, _HITS)
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def first_lexicon(documents: DataFrame, labels: DataFrame, titles: list[str], least: int = 3, share: float = 0.4) -> DataFrame:
@@ -95,8 +186,14 @@ def first_lexicon(documents: DataFrame, labels: DataFrame, titles: list[str], le
     """
     each = labels.groupBy("doc_id").agg(F.collect_set("subject").alias("of"))
     texts = documents.join(each, "doc_id").withColumn("__text", F.xxhash64("text")).dropDuplicates(["__text"])
-    grams = sentences(texts, titles).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list(F.concat("words", "pairs")))).alias("g"))
-    rows = grams.join(each, "doc_id").select(F.explode("g").alias("h"), "of").select("h", F.explode("of").alias("subject"), (1.0 / F.size("of")).alias("w"))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (h, row), (h2, row2) = grams_of(batch.column(3))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate([row, row2]))), pa.array(np.concatenate([h, h2]))], names=["doc_id", "h"])
+
+    rows = sentences(texts, titles).mapInArrow(gather, "doc_id long, h long").distinct().join(each, "doc_id")
+    rows = rows.select("h", F.explode("of").alias("subject"), (1.0 / F.size("of")).alias("w"))
     parts = each.select(F.explode("of").alias("subject"), (1.0 / F.size("of")).alias("w")).groupBy("subject").agg(F.sum("w").alias("w"))
     usual = parts.select("subject", (F.col("w") / F.sum("w").over(Window.partitionBy())).alias("usual"))  # one row a subject
     found = _best(rows.groupBy("h", "subject").agg(F.sum("w").alias("w")), least, share)
@@ -104,57 +201,89 @@ def first_lexicon(documents: DataFrame, labels: DataFrame, titles: list[str], le
 
 
 def _best(counts: DataFrame, least: int, share: float, covered: float = 0.0) -> DataFrame:
-    said = F.col("subject") >= 0
-    ranked = F.reverse(F.array_sort(F.collect_list(F.when(said, F.struct("w", "subject")))))  # one for each subject
-    most = counts.groupBy("h").agg(F.sum("w").alias("all"), F.sum(F.when(said, F.col("w"))).alias("n"), ranked.alias("r"))
+    about = F.col("subject") >= 0
+    ranked = F.reverse(F.array_sort(F.collect_list(F.when(about, F.struct("w", "subject")))))  # one for each subject
+    most = counts.groupBy("h").agg(F.sum("w").alias("all"), F.sum(F.when(about, F.col("w"))).alias("n"), ranked.alias("r"))
     most = most.where((F.col("n") >= least) & (F.col("n") >= covered * F.col("all"))).select("h", "n", F.col("r")[0].alias("top"), F.coalesce(F.get("r", F.lit(1))["w"], F.lit(0.0)).alias("next"))
     part = F.col("top.w") / F.col("n")
-    kept = most.where((F.col("n") >= least) & (part >= share) & (F.col("top.w") > 1.3 * F.col("next"))).orderBy(F.desc("n"), "h").limit(LEXICON_MAX)
+    kept = most.where((part >= share) & (F.col("top.w") > 1.3 * F.col("next")))
     return kept.select("h", F.col("top.subject").cast("int").alias("subject"), F.log((part + 0.01) / (1.01 - part) * 10 + 1).alias("weight"), part.alias("part"))
 
 
-def second_lexicon(grams: DataFrame, first: DataFrame, n: int, least: int = 3, share: float = 0.8, covered: float = 0.5) -> DataFrame:
+def second_lexicon(grams: DataFrame, first: DataFrame, n: int, least: int = 3, share: float = 0.8, covered: float = 0.5, part: int = LEXICON_PART) -> DataFrame:
     """The lexicon anew from all sentences, each gram judged by the others around it.
 
     A gram must stand in sentences about its subject (``share`` of those about any,
-    ``covered`` of all), so words that sentences about nothing share stay out.
+    ``covered`` of all), so words that sentences about nothing share stay out. A
+    lexicon of one part gives each sentence's sums where the sentence lies; more
+    parts first sum up what they say of a sentence, then each counts its own grams.
     """
-    shared = ship(grams.sparkSession).broadcast(Lexicon(first.toArrow()))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            h, row = (np.concatenate(x) for x in zip(_lists(batch.column(0)), _lists(batch.column(1))))
-            total = lexicon.votes(h, row, batch.num_rows, n)
-            others = total[row]
-            known, entry = lexicon.find(h)
-            others[np.flatnonzero(known), lexicon.subject[entry]] -= lexicon.weight[entry]
-            best = others.argmax(1)
-            best[others[np.arange(len(h)), best] <= 1e-6] = -1  # a sentence that says nothing else
-            keys, w = np.unique(np.stack([h, best]), axis=1, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(keys[1].astype(np.int32)), pa.array(w.astype(np.float64))], names=["h", "subject", "w"])
-
-    counts = grams.select("words", "pairs").mapInArrow(count, "h long, subject int, w double")
+    parts = Parts(first, part)
+    rows, sums = grams, "array<double>"
+    if parts.n > 1:
+        each = said(grams, parts, n).groupBy("doc_id", "section", "sentence", "subject").agg(F.sum("weight").alias("w"))
+        each = each.groupBy("doc_id", "section", "sentence").agg(F.map_from_entries(F.collect_list(F.struct("subject", "w"))).alias("m"))
+        all_sums = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda s: F.coalesce(F.try_element_at("m", s), F.lit(0.0)))
+        rows = stage(grams.join(each, ["doc_id", "section", "sentence"], "left").select("doc_id", "section", "sentence", "words", F.coalesce(all_sums, F.array_repeat(F.lit(0.0), n)).cast(sums).alias("sums")), "sentence-sums")
+    counts = None
+    for p, shared in parts:
+
+        def count(batches: Iterator[pa.RecordBatch], p=p, shared=shared, whole=parts.n) -> Iterator[pa.RecordBatch]:
+            lexicon = shared.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                (h, row), (h2, row2) = grams_of(batch.column(3))
+                h, row = np.concatenate([h, h2]), np.concatenate([row, row2])
+                if whole > 1:
+                    own = h % whole == p
+                    h, row = h[own], row[own]
+                known, entry = lexicon.find(h)
+                if whole > 1:
+                    total = np.asarray(batch.column(4).flatten()).reshape(-1, n)
+                else:
+                    total = np.bincount(row[known] * n + lexicon.subject[entry], lexicon.weight[entry], batch.num_rows * n).astype(float).reshape(-1, n)
+                others = total[row]
+                others[np.flatnonzero(known), lexicon.subject[entry]] -= lexicon.weight[entry]
+                best = others.argmax(1)
+                best[others[np.arange(len(h)), best] <= 1e-6] = -1  # a sentence that says nothing else
+                code, back = np.unique(h, return_inverse=True)
+                keys, w = np.unique(back.reshape(-1) * (n + 1) + best + 1, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(code[keys // (n + 1)]), pa.array((keys % (n + 1) - 1).astype(np.int32)), pa.array(w.astype(np.float64))], names=["h", "subject", "w"])
+
+        one = rows.mapInArrow(count, "h long, subject int, w double")
+        counts = one if counts is None else counts.unionByName(one)
     return _best(counts.groupBy("h", "subject").agg(F.sum("w").alias("w")), least, share, covered)
 
 
-def lexicon_votes(grams: DataFrame, lexicon: DataFrame, n: int) -> DataFrame:
-    """(doc_id, section, words, pairs): subject numbers, one row for each sentence about any."""
-    shared = ship(grams.sparkSession).broadcast(Lexicon(lexicon.toArrow()))
+def lexicon_votes(grams: DataFrame, lexicon: DataFrame, n: int, part: int = LEXICON_PART) -> DataFrame:
+    """(doc_id, section, words, pairs): subject numbers, one row for each sentence about any.
+
+    A sentence is about something if two of its words or pairs stand in the lexicon;
+    one word alone may be chance. Ties go to the smaller subject number.
+    """
+    parts = Parts(lexicon, part)
+    if parts.n > 1:
+        sums = said(grams, parts, n).groupBy("doc_id", "section", "sentence", "pair", "subject").agg(F.sum("weight").alias("w"), F.sum("hits").alias("hits"))
+        top = lambda pair: (-F.max(F.when(F.col("pair") == pair, F.struct("w", (-F.col("subject")).alias("s"))))["s"]).cast("int")
+        best = sums.groupBy("doc_id", "section", "sentence").agg(top(False).alias("words"), top(True).alias("pairs"), F.sum("hits").alias("hits"))
+        return best.where("hits >= 2").select("doc_id", "section", "words", "pairs")
+    shared = next(iter(parts))[1]
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            one, two = (shared.value.votes(*_lists(batch.column(i)), batch.num_rows, n) for i in (2, 3))
-            hits = sum(np.bincount(row[shared.value.find(h)[0]], minlength=batch.num_rows) for h, row in (_lists(batch.column(i)) for i in (2, 3)))
-            pick = lambda v: pa.array(v.argmax(1).astype(np.int32), mask=v.max(1) <= 0)
-            about = pa.array(hits >= 2)  # one word alone may be chance
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pick(one), pick(two)], names=["doc_id", "section", "words", "pairs"]).filter(about)
+            hits, picked = np.zeros(batch.num_rows, np.int64), []
+            for h, row in grams_of(batch.column(3)):
+                known, entry = lexicon.find(h)
+                v = np.bincount(row[known] * n + lexicon.subject[entry], lexicon.weight[entry], batch.num_rows * n).reshape(-1, n)
+                hits += np.bincount(row[known], minlength=batch.num_rows)
+                picked.append(pa.array(v.argmax(1).astype(np.int32), mask=v.max(1) <= 0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *picked], names=["doc_id", "section", "words", "pairs"]).filter(pa.array(hits >= 2))
 
-    return grams.select("doc_id", "section", "words", "pairs").mapInArrow(vote, "doc_id long, section int, words int, pairs int")
+    return grams.mapInArrow(vote, "doc_id long, section int, words int, pairs int")
 
 
 def _modal(df: DataFrame, keys: list[str], vote: str, out: str) -> DataFrame:
@@ -191,55 +320,58 @@ def posterior(patterns: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
     return score / score.sum(1, keepdims=True)
 
 
-def subjects_of(documents: DataFrame, subjects: DataFrame, labels: DataFrame, share: float = 0.3) -> DataFrame:
+def _agreement(named: Column) -> Column:
+    """Which functions agree, whatever the subject: each vote as its place in ``named``, -1 for none."""
+    return F.array(*[F.coalesce(F.array_position(named, F.col(f)) - 1, F.lit(-1)).cast("int") for f in FUNCTIONS])
+
+
+def assigned(votes: DataFrame, n: int, share: float) -> DataFrame:
+    """(doc_id, subject, n_sentences, share) from (doc_id, FUNCTIONS, n): the model is learnt from
+    the counts of agreement patterns (203 at most), posteriors are summed by document."""
+    named = F.array_distinct(F.array_compact(F.array(*FUNCTIONS)))
+    rows = stage(votes.withColumn("named", named).withColumn("pattern", _agreement(F.col("named"))).withColumn("about", F.sum("n").over(Window.partitionBy("doc_id"))).select("doc_id", "named", "pattern", "n", "about"), "vote-patterns")
+    table = rows.groupBy("pattern").agg(F.sum("n").alias("n")).toArrow()
+    patterns = np.array(table.column("pattern").to_pylist(), np.int64).reshape(-1, len(FUNCTIONS))
+    post = posterior(patterns, learn_accuracies(patterns, table.column("n").to_numpy().astype(float), n), n) if len(patterns) else np.zeros((0, n))
+    learnt = rows.sparkSession.createDataFrame([([int(v) for v in p], [float(x) for x in q[: len(FUNCTIONS)]]) for p, q in zip(patterns, post)], "pattern array<int>, p array<double>")
+    mass = rows.join(F.broadcast(learnt), "pattern").select("doc_id", "n", "about", F.posexplode("named").alias("place", "subject"), "p")
+    summed = mass.groupBy("doc_id", "about", "subject").agg(F.sum(F.col("n") * F.get("p", F.col("place"))).alias("mass"))
+    whole = F.floor(F.round("mass", 6) + 0.5)
+    return summed.select("doc_id", "subject", whole.alias("n_sentences"), (whole / F.col("about")).alias("share")).where(F.col("share") >= share)
+
+
+def subjects_of(documents: DataFrame, subjects: DataFrame, labels: DataFrame, share: float = 0.3, part: int = LEXICON_PART) -> DataFrame:
     """(doc_id, subject_code, n_sentences, share) of every subject that fills ``share``
     of a document's sentences about any subject.
 
     Null ids, null and empty texts and documents about nothing give no rows;
     labels of unknown documents or subjects are ignored; without any label there
     is nothing to learn from and no row. Copies are judged each for itself. Long
-    texts are read whole.
+    texts are read whole. More than SUBJECTS_MAX subjects are an error.
     """
     spark = documents.sparkSession
-    rows = subjects.where(F.col("subject_code").isNotNull()).select("subject_code", "title").distinct().limit(2_000).collect()
+    rows = subjects.where(F.col("subject_code").isNotNull()).select("subject_code", "title").distinct().limit(SUBJECTS_MAX + 1).collect()
+    if len(rows) > SUBJECTS_MAX:
+        raise ValueError(f"more than {SUBJECTS_MAX} subjects")
     codes, titles = sorted({r[0] for r in rows}), sorted({r[1].strip() for r in rows if r[1] and r[1].strip()})
     n = max(2, len(codes))
     numbers = spark.createDataFrame(list(enumerate(codes)) or [(0, "")], "subject int, subject_code string")
     docs = documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text", "source")
     known = labels.join(numbers, "subject_code").select("doc_id", "subject").distinct()
-    grams = sentences(docs, titles)
-    first = stage(first_lexicon(docs, known, titles), "lexicon")
-    lexicon = stage(second_lexicon(grams, first, n), "lexicon")
-    votes = stage(lexicon_votes(grams, lexicon, n), "sentence-votes")
+    grams = stage(sentences(docs, titles), "sentences")
+    lexicon = stage(first_lexicon(docs, known, titles), "lexicon")
+    for _ in range(2):
+        lexicon = stage(second_lexicon(grams, lexicon, n, part=part), "lexicon")
+    votes = stage(lexicon_votes(grams, lexicon, n, part), "sentence-votes")
 
-    own = F.coalesce("pairs", "words")
-    each = votes.withColumn("own", own)
+    each = votes.withColumn("own", F.coalesce("pairs", "words"))
     section = _modal(each, ["doc_id", "section"], "own", "section_vote")
-    said = known.join(docs.select("doc_id", "source", F.regexp_extract("text", _ADDRESS, 0).alias("address")), "doc_id")
-    source = _modal(said.where(F.col("source").isNotNull()), ["source"], "subject", "source_vote")
-    address = _modal(said.where(F.col("address") != ""), ["address"], "subject", "address_vote")
-    of_doc = (
-        docs.select("doc_id", "source", F.regexp_extract(F.coalesce("text", F.lit("")), _ADDRESS, 0).alias("address"))
-        .join(source, "source", "left").join(address, "address", "left").select("doc_id", "source_vote", "address_vote")
-    )
+    addressed = docs.select("doc_id", "source", F.regexp_extract(F.coalesce("text", F.lit("")), _ADDRESS, 0).alias("address"))
+    labelled = known.join(addressed, "doc_id")
+    source = _modal(labelled.where(F.col("source").isNotNull()), ["source"], "subject", "source_vote")
+    address = _modal(labelled.where(F.col("address") != ""), ["address"], "subject", "address_vote")
+    of_doc = addressed.join(source, "source", "left").join(address, "address", "left").groupBy("doc_id").agg(F.min("source_vote").alias("source"), F.min("address_vote").alias("address"))
     counted = each.groupBy("doc_id", "section", "words", "pairs").agg(F.count(F.lit(1)).alias("n"))
-    full = stage(
-        counted.join(section, ["doc_id", "section"], "left").join(of_doc, "doc_id", "left")
-        .groupBy("doc_id", "words", "pairs", F.col("section_vote").alias("section"), F.col("source_vote").alias("source"), F.col("address_vote").alias("address"))
-        .agg(F.sum("n").alias("n")),
-        "vote-patterns",
-    )
-    table = full.groupBy(*FUNCTIONS).agg(F.sum("n").alias("n")).toArrow()
-    patterns = np.stack([table.column(f).fill_null(-1).to_numpy() for f in FUNCTIONS], axis=1).astype(np.int64).reshape(-1, len(FUNCTIONS))
-    post = posterior(patterns, learn_accuracies(patterns, table.column("n").to_numpy().astype(float), n), n) if len(patterns) else np.zeros((0, n))
-    chosen = spark.createDataFrame(
-        [(*(int(v) for v in p), int(b)) for p, b in zip(patterns, post.argmax(1) if len(post) else [])],
-        ", ".join(f"p_{f} int" for f in FUNCTIONS) + ", subject int",
-    )
-    same = [F.coalesce(F.col(f), F.lit(-1)) == F.col(f"p_{f}") for f in FUNCTIONS]
-    on = same[0]
-    for c in same[1:]:
-        on = on & c
-    per = full.join(chosen, on).groupBy("doc_id", "subject").agg(F.sum("n").alias("n_sentences"))
-    part = F.col("n_sentences") / F.sum("n_sentences").over(Window.partitionBy("doc_id"))
-    return per.withColumn("share", part).where(F.col("share") >= share).join(numbers, "subject").select("doc_id", "subject_code", "n_sentences", F.round("share", 6).alias("share"))
+    full = counted.join(section, ["doc_id", "section"], "left").join(of_doc, "doc_id", "left").select("doc_id", "words", "pairs", F.col("section_vote").alias("section"), "source", "address", "n")
+    found = assigned(full.groupBy("doc_id", *FUNCTIONS).agg(F.sum("n").alias("n")), n, share)
+    return found.join(numbers, "subject").select("doc_id", "subject_code", "n_sentences", F.round("share", 6).alias("share"))

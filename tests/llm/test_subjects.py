@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from chronolens.llm.subjects import learn_accuracies, posterior, subjects_of
 
@@ -30,11 +31,12 @@ def made(seed, n=300):
 SUBJECTS = [("sport", "All of Sport"), ("law", "Law"), ("music", None), (None, "x")]
 
 
-def run(spark, docs, labels, subjects=SUBJECTS):
+def run(spark, docs, labels, subjects=SUBJECTS, **more):
     return subjects_of(
         spark.createDataFrame(docs, "doc_id long, text string, source string, subject string"),
         spark.createDataFrame(subjects, "subject_code string, title string"),
         spark.createDataFrame(labels, "doc_id long, subject_code string"),
+        **more,
     )
 
 
@@ -65,3 +67,24 @@ def test_accuracies_are_learnt():
     right = learn_accuracies(patterns, counts.astype(float), 5)
     assert right[0] > right[1] > right[3]
     assert (posterior(votes, right, 5).argmax(1) == true).mean() > 0.88
+
+
+def test_a_lexicon_in_parts_gives_the_same_rows(spark):
+    docs, labels, _ = made(3, 120)
+    rows = lambda **more: sorted(tuple(r) for r in run(spark, docs, labels, **more).collect())
+    whole = rows()
+    assert whole and rows(part=11) == whole
+
+
+def test_titles_and_words_in_any_script(spark):
+    docs = [(d, f"Über das Verfassungsgericht straße{d % 7} ließ sich ПРАВО lesen. Das Urteil straße{d % 7} gilt.", None, "c") for d in range(40)]
+    docs += [(100 + d, f"Die Geige spielt Sonate{d % 7} laut. Eine Sonate{d % 7} für Geige.", None, "c") for d in range(40)]
+    labels = [(d, "law") for d in range(0, 40, 2)] + [(100 + d, "music") for d in range(0, 40, 2)]
+    got = {r.doc_id: r.subject_code for r in run(spark, docs, labels, [("law", "право"), ("music", None)]).collect()}
+    assert {got.get(d) for d in range(40)} == {"law"} and {got.get(100 + d) for d in range(40)} == {"music"}
+
+
+def test_too_many_subjects_are_refused(spark):
+    docs, labels, _ = made(2, 5)
+    with pytest.raises(ValueError):
+        run(spark, docs, labels, [(f"s{i}", None) for i in range(2_001)])
