@@ -1,31 +1,40 @@
 """Balanced posting lists over vectors.
 
-Centroids are fitted on a bounded sample; every row is indexed. A vector goes
-to its nearest centroid's list and, near a boundary, to each further list whose
-distance is within a ratio of the nearest one. Equal vectors travel as one
-entry with their smallest keys, so a group of copies, however large, is one
-row of a list.
+Lists grow in number with the rows, about one for ROWS_A_LIST. Centroids are
+fitted on bounded samples; every row is indexed. The centroids of one node, at
+most FAN_OUT, are searched by a graph in memory: a walk from hubs along edges to
+near centroids. A vector goes to its nearest centroid's list and, near a
+boundary, to each further list that the walk holds whose distance is within a
+ratio of the nearest one. Where one node's centroids are too few for the rows,
+its lists are nodes themselves: their rows meet the list's own centroids in
+tasks, and so on until lists are small, so nothing that is broadcast or held by
+a task grows with the data. A list that its sample shows to be beyond LIST_BOUND
+is cut into parts, and every two parts meet in a cell of their own. Equal vectors
+travel as one entry with their smallest keys, so a group of copies, however
+large, is one row of a list.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolens.llm.arrow_groups import matrix
+from chronolens.llm.arrow_groups import grouped, matrix
 from chronolens.sources.shipping import ship
+from chronolens.sources.staging import stage
 
-#: Rows that the centroids are fitted on, at most about so many.
+#: Rows that the centroids of a node are fitted on, at most about so many.
 SAMPLE_ROWS = 32_768
-#: Lists for so many rows one; LISTS_MAX bounds what is broadcast (float32).
-ROWS_A_LIST, LISTS_MAX = 96, 8_192
-#: Smallest keys that an entry for equal vectors keeps where a caller names no number.
-KEYS_KEPT = 6
+#: Rows for one list; lists of one node (2 MB of centroids); entries in a part of a list.
+ROWS_A_LIST, FAN_OUT, LIST_BOUND = 96, 8_192, 2_048
+#: Near centroids that a centroid has edges to; pivots that a walk starts from and their
+#: centroids at most; centroids that a walk holds, and follows at least; so few that no graph is needed.
+DEGREE, PIVOTS, STARTS, WIDTH, LEAST, EXACT = 16, 24, 24, 24, 4, 256
 
 
 def usable(vector: Column, dim: int) -> Column:
@@ -64,38 +73,159 @@ def fit_centroids(points: np.ndarray, n_lists: int, rounds: int = 5) -> np.ndarr
     return centres
 
 
+class CentroidGraph:
+    """Centroids joined to their nearest ones, walked by many vectors at once.
+
+    Pivots, each the mean of some STARTS centroids at most, say where a walk starts:
+    every centroid is a start of some pivot, so none is out of reach.
+    """
+
+    def __init__(self, centres: np.ndarray, degree: int = DEGREE):
+        self.centres, self.n = np.ascontiguousarray(centres, np.float32), len(centres)
+        self.norms = (self.centres**2).sum(1)
+        self.flat = self.n <= EXACT  # so few that all of them are looked at
+        if self.flat:
+            return
+        near, far = np.empty((self.n, degree), np.int64), np.empty((self.n, degree), np.float32)
+        for s in range(0, self.n, 1024):
+            d = self.norms[None, :] - 2 * self.centres[s : s + 1024] @ self.centres.T
+            d[np.arange(len(d)), np.arange(s, s + len(d))] = np.inf
+            near[s : s + 1024] = np.argpartition(d, degree - 1, axis=1)[:, :degree]
+            far[s : s + 1024] = np.take_along_axis(d, near[s : s + 1024], 1)
+        # edges back: what holds a centroid as its own near one is near it too; a row's spare places hold the centroid itself
+        to, back = near.reshape(-1), np.repeat(np.arange(self.n), degree)
+        order = np.lexsort(((far + self.norms[:, None]).reshape(-1), to))
+        to, back = to[order], back[order]
+        place = np.arange(len(to)) - np.searchsorted(to, to)
+        first = place < degree // 2
+        more = np.repeat(np.arange(self.n)[:, None], degree // 2, axis=1)
+        more[to[first], place[first]] = back[first]
+        more[(more[:, :, None] == near[:, None, :]).any(2)] = 0
+        more = np.where(more == 0, np.arange(self.n)[:, None], more)
+        self.edges = np.concatenate([near, more], axis=1)
+        pivots = fit_centroids(unit(self.centres), max(2, int(2 * self.n**0.5)))
+        of = np.argmax(unit(self.centres) @ pivots.T, axis=1)
+        order = np.argsort(of, kind="stable")
+        place = np.arange(self.n) - np.searchsorted(of[order], of[order])
+        group = np.cumsum((place % STARTS == 0).astype(np.int64)) - 1
+        self.starts = np.full((group[-1] + 1, STARTS), -1)
+        self.starts[group, place % STARTS] = order
+        filled = self.starts >= 0
+        self.pivots = (np.where(filled[:, :, None], self.centres[self.starts], 0).sum(1) / filled.sum(1, keepdims=True)).astype(np.float32)
+        self.pivot_norms = (self.pivots**2).sum(1)
+
+    def walk(self, x: np.ndarray, ratio: float, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+        """(row, centroid): the centroids that each row's walk found within ``ratio`` of its nearest.
+
+        A walk holds its ``width`` nearest centroids so far and follows the edges of
+        each of them that is within the ratio, until none is left.
+        """
+        width = min(width, self.n)
+        out = [self._block(x[s : s + 1024], ratio * ratio, width) for s in range(0, len(x), 1024)]
+        if not out:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate([r + 1024 * i for i, (r, _) in enumerate(out)]), np.concatenate([c for _, c in out])
+
+    def _block(self, x: np.ndarray, limit: float, width: int) -> tuple[np.ndarray, np.ndarray]:
+        own = (x**2).sum(1, keepdims=True)
+        if self.flat:
+            dist = np.maximum(own + self.norms[None, :] - 2 * x @ self.centres.T, 1e-12)
+            held = np.broadcast_to(np.arange(self.n), dist.shape)
+            if width < self.n:
+                held = np.argpartition(dist, width - 1, axis=1)[:, :width]
+                dist = np.take_along_axis(dist, held, 1)
+        else:
+            held, dist = self._walked(x, own, limit, width)
+        row, place = np.nonzero(dist <= limit * dist.min(1, keepdims=True))
+        return row, held[row, place]
+
+    def _walked(self, x: np.ndarray, own: np.ndarray, limit: float, width: int) -> tuple[np.ndarray, np.ndarray]:
+        m = len(x)
+        far = self.pivot_norms[None, :] - 2 * x @ self.pivots.T
+        first = np.argpartition(far, min(PIVOTS, far.shape[1]) - 1, axis=1)[:, :PIVOTS]
+        held = self.starts[first].reshape(m, -1)
+        dist = np.where(held >= 0, self._far(x, own, held), np.inf)
+        seen = np.zeros((m, self.n), bool)
+        row, place = np.nonzero(held >= 0)
+        seen[row, held[row, place]] = True
+        kept = np.argpartition(dist, width - 1, axis=1)[:, :width]
+        held, dist = np.take_along_axis(held, kept, 1), np.take_along_axis(dist, kept, 1)
+        done = np.zeros(held.shape, bool)
+        live = np.arange(m)
+        while len(live):
+            d = dist[live]
+            reach = np.maximum(limit * d.min(1, keepdims=True), np.partition(d, LEAST, axis=1)[:, LEAST : LEAST + 1])
+            open_ = np.where(done[live] | (d > reach), np.inf, d)
+            at = open_.argmin(1)
+            going = np.isfinite(open_[np.arange(len(live)), at])
+            live, at = live[going], at[going]
+            done[live, at] = True
+            near = self.edges[held[live, at]]
+            fresh = ~seen[live[:, None], near]
+            seen[live[:, None], near] = True
+            d = np.where(fresh, self._far(x[live], own[live], near), np.inf)
+            better = (d < dist[live].max(1, keepdims=True)).any(1)
+            now, d, near = live[better], d[better], near[better]
+            if len(now):
+                every = np.concatenate([dist[now], d], axis=1)
+                kept = np.argpartition(every, width - 1, axis=1)[:, :width]
+                dist[now] = np.take_along_axis(every, kept, 1)
+                held[now] = np.take_along_axis(np.concatenate([held[now], near], axis=1), kept, 1)
+                done[now] = np.take_along_axis(np.concatenate([done[now], np.zeros(near.shape, bool)], axis=1), kept, 1)
+        return held, dist
+
+    def _far(self, x: np.ndarray, own: np.ndarray, to: np.ndarray) -> np.ndarray:
+        return np.maximum(own + self.norms[to] - 2 * np.matmul(self.centres[to], x[:, :, None])[:, :, 0], 1e-12)
+
+
 @dataclass
 class ListIndex:
-    """Centroids, the optional projection they live in, and the boundary ratio."""
+    """One node: its centroids, the optional projection they live in, the boundary ratio
+    and into how many parts each list is cut."""
 
     dim: int
     centres: np.ndarray
     projection: np.ndarray | None
     ratio: float
+    parts: np.ndarray | None = None
+    graph: CentroidGraph = field(init=False)
+
+    def __post_init__(self):
+        self.graph = CentroidGraph(self.centres)
 
     def lists_of(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) for the nearest list and each further one within the ratio."""
-        space = units if self.projection is None else units @ self.projection
-        own = (space**2).sum(1, keepdims=True)
-        far = np.maximum(own + (self.centres**2).sum(1)[None, :] - 2 * space @ self.centres.T, 0)
-        return np.nonzero(far <= np.maximum(far.min(1, keepdims=True), 1e-12) * self.ratio**2)
+        return self.graph.walk(units if self.projection is None else units @ self.projection, self.ratio)
+
+    def cut(self, points: np.ndarray, scale: float, bound: int | None) -> ListIndex:
+        """Sets ``parts`` by how many of the sample's ``points``, each standing for ``scale`` rows, a list has."""
+        self.parts = np.ones(len(self.centres), np.int64)
+        if bound:
+            _, to = self.lists_of(points)
+            self.parts = np.maximum(1, -(-np.bincount(to, minlength=len(self.centres)) * scale // bound)).astype(np.int64)
+        return self
+
+
+def fit_node(points: np.ndarray, n_lists: int, dim: int, ratio: float, projection: np.ndarray | None, scale: float, bound: int | None) -> ListIndex:
+    """The index of one node, fitted on unit vectors that stand for ``scale`` rows each."""
+    centres = fit_centroids(points, n_lists) if projection is None else fit_plain(points @ projection, n_lists)
+    return ListIndex(dim, centres, projection, ratio).cut(points, scale, bound)
 
 
-def fit_index(vectors: DataFrame, dim: int, ratio: float, reduced: int | None = None, sample_rows: int = SAMPLE_ROWS) -> ListIndex:
-    """Fit on about ``sample_rows`` rows chosen by a hash of the key; rows only decide
-    where lists lie, every row is indexed later. No usable rows: one list."""
+def fit_index(vectors: DataFrame, dim: int, ratio: float, reduced: int | None, fan_out: int, rows_a_list: int, sample_rows: int, bound: int | None) -> tuple[int, ListIndex]:
+    """(rows, the first node), fitted on about ``sample_rows`` rows chosen by a hash of the key; rows
+    only decide where lists lie, every row is indexed later. No usable rows: one list."""
     total = vectors.count()
     step = max(1, -(-total // sample_rows))
     sample = vectors.where(F.pmod(F.xxhash64("key", "vector"), F.lit(step)) == 0).select("vector").limit(2 * sample_rows).toArrow()
     points = unit(matrix(sample.column("vector"), dim)) if sample.num_rows else np.eye(1, dim, dtype=np.float32)
     points = np.unique(points, axis=0)
-    n_lists = int(np.clip(total // ROWS_A_LIST, 1, LISTS_MAX))
+    deep = total > 4 * fan_out * rows_a_list  # parts are for lists that are not cut again
     projection = None
     if reduced and reduced < dim and len(points) > reduced:
         _, axes = np.linalg.eigh(points.T @ points)
         projection = np.ascontiguousarray(axes[:, ::-1][:, :reduced]).astype(np.float32)
-        return ListIndex(dim, fit_plain(points @ projection, n_lists), projection, ratio)
-    return ListIndex(dim, fit_centroids(points, n_lists), None, ratio)
+    return total, fit_node(points, int(np.clip(total // rows_a_list, 1, fan_out)), dim, ratio, projection, total / max(len(points), 1), None if deep else bound)
 
 
 def fit_plain(points: np.ndarray, n_lists: int) -> np.ndarray:
@@ -108,7 +238,7 @@ def fit_plain(points: np.ndarray, n_lists: int) -> np.ndarray:
     return np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centres * np.linalg.norm(points, axis=1).mean()).astype(np.float32)
 
 
-ENTRY = "list int, kind int, k1 long, k2 long, keys array<string>, vector array<float>"
+ENTRY = "list long, cell long, kind int, k1 long, k2 long, keys array<string>, vector array<float>"
 
 
 def _merge(kind: np.ndarray, k1: np.ndarray, k2: np.ndarray, keys: list[list[str]], kept: int) -> tuple[np.ndarray, list[list[str]]]:
@@ -124,8 +254,93 @@ def _merge(kind: np.ndarray, k1: np.ndarray, k2: np.ndarray, keys: list[list[str
     return first, merged
 
 
-def to_lists(vectors: DataFrame, index: ListIndex, kept: int = KEYS_KEPT) -> DataFrame:
-    """Entries of every list, sorted by list inside their partition; ``kept`` keys for equal vectors."""
+def _vectors(flat: np.ndarray, dim: int) -> pa.ListArray:
+    flat = np.ascontiguousarray(flat, np.float32).reshape(-1)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, dim, dtype=np.int32)), pa.array(flat))
+
+
+def _placed(index: ListIndex, base: int, kind: np.ndarray, k1: np.ndarray, k2: np.ndarray, keys: list[list[str]], raw: np.ndarray) -> pa.RecordBatch:
+    """Entries of the node's lists; lists are numbered from ``base``. An entry of a list in
+    parts stands in the cell of its part with each other part."""
+    at, to = index.lists_of(unit(raw.astype(np.float64)).astype(np.float32))
+    cell = base + to
+    if index.parts is not None and (index.parts > 1).any():
+        n = index.parts[to]
+        again = np.maximum(n - 1, 1)
+        other = np.arange(again.sum()) - np.repeat(np.cumsum(again) - again, again)
+        at, to, n = np.repeat(at, again), np.repeat(to, again), np.repeat(n, again)
+        part = (k1[at].view(np.uint64) % n.astype(np.uint64)).astype(np.int64)
+        other = other + (other >= part)
+        low, high = np.minimum(part, other).astype(np.uint64), np.maximum(part, other).astype(np.uint64)
+        mixed = ((base + to).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ low * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x165667B19E3779F9) + high * np.uint64(0x9FB21C651E98DF25)
+        cell = np.where(n > 1, (mixed ^ mixed >> np.uint64(31)).view(np.int64), base + to)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(base + to), pa.array(cell), pa.array(kind[at]), pa.array(k1[at]), pa.array(k2[at]), pa.array([keys[i] for i in at], pa.list_(pa.string())), _vectors(raw[at], index.dim)],
+        names=["list", "cell", "kind", "k1", "k2", "keys", "vector"],
+    )
+
+
+def _deeper(entries: DataFrame, sizes: DataFrame, index: ListIndex, fan_out: int, rows_a_list: int, sample_rows: int, bound: int | None) -> DataFrame:
+    """Every list of ``entries`` cut into lists of its own, about one for ``rows_a_list`` entries.
+
+    A list's centroids are fitted in one task on a bounded sample of it and meet its
+    rows there where they lie: a list of many rows is spread over several tasks, each
+    with a copy of the centroids.
+    """
+    dim, ratio, projection = index.dim, index.ratio, index.projection
+    n_lists = F.least(F.lit(fan_out), F.greatest(F.lit(1), F.floor(F.col("n") / rows_a_list)))
+    wanted = F.least(F.lit(sample_rows), n_lists * F.lit(max(4, sample_rows // fan_out)))
+    sizes = sizes.withColumn("n_lists", n_lists).withColumn("part_of", F.least(F.lit(1.0), wanted / F.col("n"))).withColumn("tasks", F.ceil(F.col("n") / 50_000))
+    chosen = F.pmod(F.xxhash64("k2"), F.lit(1 << 20)) < F.col("part_of") * (1 << 20)
+    sample = entries.join(sizes, "list").where(chosen).select("list", "n_lists", "part_of", "vector")
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(batches, "list"):
+            points = np.unique(unit(matrix(t.column("vector"), dim)), axis=0)
+            node = fit_node(points, int(t.column("n_lists")[0].as_py()), dim, ratio, projection, 1 / float(t.column("part_of")[0].as_py()), bound)
+            pack = np.concatenate([node.centres, node.parts[:, None]], axis=1)
+            yield pa.RecordBatch.from_arrays([t.column("list")[:1].combine_chunks(), _vectors(pack, pack.size)], names=["list", "vector"])
+
+    packs = stage(sample.repartition("list").sortWithinPartitions("list").mapInArrow(fit, "list long, vector array<float>"), "centroids")
+    none = lambda kind: F.lit(None).cast(kind)
+    packs = packs.join(sizes, "list").select("list", F.explode(F.sequence(F.lit(0), (F.col("tasks") - 1).cast("int"))).alias("task"), F.lit(0).alias("place"), none("int").alias("kind"), none("long").alias("k1"), none("long").alias("k2"), none("array<string>").alias("keys"), "vector")
+    rows = entries.join(sizes, "list").select("list", F.pmod(F.xxhash64("k1"), F.col("tasks")).cast("int").alias("task"), F.lit(1).alias("place"), "kind", "k1", "k2", "keys", "vector")
+    width = dim + 1 if projection is None else projection.shape[1] + 1
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, at = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            where = batch.column(0).to_numpy()
+            place = batch.column(2).to_numpy()
+            edges = [0, *(np.flatnonzero((where[1:] != where[:-1]) | (place[1:] < place[:-1])) + 1).tolist(), len(where)]
+            for start, end in zip(edges[:-1], edges[1:]):
+                run = batch.slice(start, end - start)
+                if place[start] == 0:
+                    pack = np.asarray(run.column(7)[0].values, np.float32).reshape(-1, width)
+                    node, at, run = ListIndex(dim, pack[:, :-1], projection, ratio, pack[:, -1].astype(np.int64)), where[start], run.slice(1)
+                if not run.num_rows:
+                    continue
+                if at != where[start]:  # a list without a sampled row stays whole
+                    node, at = ListIndex(dim, np.eye(1, width - 1, dtype=np.float32), projection, ratio), where[start]
+                kind, k1, k2 = (run.column(i).to_numpy(zero_copy_only=False).astype(t) for i, t in ((3, np.int32), (4, np.int64), (5, np.int64)))
+                yield _placed(node, int(at) * fan_out, kind, k1, k2, run.column(6).to_pylist(), matrix(run.column(7), dim))
+
+    spread = packs.unionByName(rows).repartition("list", "task").sortWithinPartitions("list", "task", "place")
+    return spread.mapInArrow(assign, ENTRY)
+
+
+def to_lists(
+    vectors: DataFrame, dim: int, ratio: float, kept: int, reduced: int | None = None, fan_out: int = FAN_OUT, rows_a_list: int = ROWS_A_LIST, sample_rows: int = SAMPLE_ROWS, bound: int | None = LIST_BOUND
+) -> DataFrame:
+    """Entries (ENTRY) of every list, sorted by cell inside their partition; ``kept`` keys for equal vectors.
+
+    ``vectors`` has (key, kind, vector). One level of lists serves up to 4 x
+    ``fan_out`` x ``rows_a_list`` rows; beyond that lists are cut again, level by
+    level. ``bound`` None keeps lists whole.
+    """
+    total, index = fit_index(vectors, dim, ratio, reduced, fan_out, rows_a_list, sample_rows, bound)
     shared = ship(vectors.sparkSession).broadcast(index)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,18 +351,20 @@ def to_lists(vectors: DataFrame, index: ListIndex, kept: int = KEYS_KEPT) -> Dat
             column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             kind, k1, k2 = (column[n].to_numpy() for n in ("kind", "k1", "k2"))
             rows, keys = _merge(kind, k1, k2, [[x] for x in column["key"].to_pylist()], kept)
-            raw = matrix(column["vector"], index.dim)[rows]
-            at, to = index.lists_of(unit(raw.astype(np.float64)).astype(np.float32))
-            flat = raw[at].reshape(-1)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(to.astype(np.int32)), pa.array(kind[rows][at]), pa.array(k1[rows][at]), pa.array(k2[rows][at]), pa.array([keys[i] for i in at], pa.list_(pa.string())),
-                    pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, index.dim, dtype=np.int32)), pa.array(flat)),
-                ],
-                names=["list", "kind", "k1", "k2", "keys", "vector"],
-            )
-
-    return hashed(vectors).select("key", "kind", "k1", "k2", "vector").mapInArrow(assign, ENTRY).repartition("list").sortWithinPartitions("list")
+            yield _placed(index, 0, kind[rows], k1[rows], k2[rows], keys, matrix(column["vector"], index.dim)[rows])
+
+    entries = hashed(vectors).select("key", "kind", "k1", "k2", "vector").mapInArrow(assign, ENTRY)
+    if total > 4 * fan_out * rows_a_list:
+        while True:
+            entries = stage(entries, "list-entries")
+            sizes = stage(entries.groupBy("list").agg(F.count(F.lit(1)).alias("n")), "list-sizes")
+            largest = sizes.agg(F.max("n")).first()[0] or 0
+            if largest <= 4 * rows_a_list:
+                break
+            entries = _deeper(entries, sizes, index, fan_out, rows_a_list, sample_rows, bound)
+            if largest <= 4 * fan_out * rows_a_list:
+                break
+    return entries.repartition("cell").sortWithinPartitions("cell")
 
 
 @dataclass
@@ -161,7 +378,7 @@ class Entries:
     units: np.ndarray
 
     @staticmethod
-    def of(table: pa.Table, dim: int, kept: int = KEYS_KEPT) -> Entries:
+    def of(table: pa.Table, dim: int, kept: int) -> Entries:
         kind, k1, k2 = (table.column(n).to_numpy() for n in ("kind", "k1", "k2"))
         rows, keys = _merge(kind, k1, k2, table.column("keys").to_pylist(), kept)
         return Entries(kind[rows], k1[rows], k2[rows], keys, unit(matrix(table.column("vector"), dim)[rows].astype(np.float64)))
