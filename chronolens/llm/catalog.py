@@ -122,13 +122,7 @@ _TOKENIZERS = ("spark.chronolens.tokenizers", "/opt/tokenizers")
 
 
 def _packed(spark: SparkSession, sf: str) -> DataFrame:
-    from importlib.util import module_from_spec, spec_from_file_location
-
-    folder = spark.conf.get(*_TOKENIZERS)
-    spec = spec_from_file_location("tokenizer_files", f"{folder}/__init__.py")
-    files = module_from_spec(spec)
-    spec.loader.exec_module(files)
-    return pack(token_counts(table(spark, sf, "documents"), f"{folder}/byte_bpe_50k.tiktoken", files.PATTERN))
+    return pack(token_counts(table(spark, sf, "documents"), f"{spark.conf.get(*_TOKENIZERS)}/byte_bpe_50k.tiktoken"))
 
 
 def p8_pack(spark: SparkSession, sf: str) -> DataFrame:
@@ -142,6 +136,31 @@ def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
     return bins.groupBy(tenth).agg(F.count(F.lit(1)).alias("n_containers"), F.sum("fill").alias("n_tokens"), F.sum(CAPACITY - F.col("fill")).alias("unused"), F.sum("items").alias("n_pieces"))
 
 
+def p8_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of any packing, as counts: every document once and whole, no container
+    overfull, no document cut that fits, full pieces before a rest, one container at most
+    that is half empty."""
+    pieces = stage(_packed(spark, sf), "packing")
+    docs = pieces.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("pieces"), F.max("piece").alias("last"), F.max(F.col("first_token") + F.col("n_tokens")).alias("end"), F.count(F.when(F.col("first_token") != F.col("piece") * CAPACITY, 1)).alias("off"))
+    bins = pieces.where("container IS NOT NULL").groupBy("container").agg(F.sum("n_tokens").alias("fill"))
+    broken = (F.col("n") != F.col("end")) | (F.col("pieces") != F.col("last") + 1) | (F.col("off") > 0)
+    needless = (F.col("pieces") > 1) & (F.ceil(F.col("n") / CAPACITY) != F.col("pieces"))
+    half = F.count(F.when(F.col("fill") * 2 <= CAPACITY, 1))
+    return (
+        docs.select(F.lit("documents").alias("what")).groupBy("what").agg(F.count(F.lit(1)).alias("n"))
+        .unionByName(docs.agg(F.count(F.when(broken, 1)).alias("n")).select(F.lit("documents with gaps").alias("what"), "n"))
+        .unionByName(docs.agg(F.count(F.when(needless, 1)).alias("n")).select(F.lit("documents cut without need").alias("what"), "n"))
+        .unionByName(bins.agg(F.count(F.when(F.col("fill") > CAPACITY, 1)).alias("n")).select(F.lit("overfull containers").alias("what"), "n"))
+        .unionByName(bins.agg(F.greatest(half - 1, F.lit(0)).alias("n")).select(F.lit("half empty containers beyond one").alias("what"), "n"))
+    )
+
+
+P8_CHECKS_SQL = """
+SELECT 'documents' AS what, count(DISTINCT doc_id) AS n FROM documents UNION ALL SELECT 'documents with gaps', 0 UNION ALL SELECT 'documents cut without need', 0
+UNION ALL SELECT 'overfull containers', 0 UNION ALL SELECT 'half empty containers beyond one', 0
+"""
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items")).select("doc_id", "item_id").distinct()
 
@@ -175,9 +194,10 @@ QUERIES = {
     "p7_found": p7_found,
     "p8_pack": p8_pack,
     "p8_fill": p8_fill,
+    "p8_checks": p8_checks,
     "p9_found": p9_found,
     "p9_spans": p9_spans,
     "p10_found": p10_found,
     "p10_composition": p10_composition,
 }
-ORACLE = {"p6_found": P6_SQL, "p7_found": P7_SQL}
+ORACLE = {"p6_found": P6_SQL, "p7_found": P7_SQL, "p8_checks": P8_CHECKS_SQL}

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from chronolens.llm.packing import best_fit, pack, token_counts
+from chronolens.llm.packing import FAN_IN, PATTERN, _going_up, best_fit, pack, token_counts
 
 
 def check(spark, rows, capacity, group):
@@ -56,6 +56,23 @@ def test_empty(spark):
 def test_token_counts(spark):
     import public_tokenizers as P
 
+    assert PATTERN == P.PATTERN
+
     df = spark.createDataFrame([(1, "Hello world"), (2, ""), (3, None), (4, "<|endoftext|>")], "doc_id long, text string")
-    got = {r.doc_id: r.n_tokens for r in token_counts(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()}
+    got = {r.doc_id: r.n_tokens for r in token_counts(df, P.path("byte_bpe_50k.tiktoken")).collect()}
     assert got[1] == 2 and got[2] == got[3] == 0 and got[4] > 1
+
+
+def test_large_items_stay_bounded_and_small_ones_find_room(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.randrange(52, 90)) for i in range(900)] + [(1_000 + i, rng.randrange(8, 30)) for i in range(40)]
+    one, many = check(spark, rows, 100, 100_000), check(spark, rows, 100, 30)  # 1 group; 32 groups, two rounds of merging
+    assert len(many) <= len(one) + 2
+    assert sum(2 * f <= 100 for f in many.values()) <= 1
+
+
+def test_of_equal_bins_only_as_many_go_up_as_can_be_asked():
+    fill = np.array([60] * 500 + [30, 100, 99])
+    up = _going_up(fill, 100, 2)
+    assert up[:500].sum() == 2 * FAN_IN and up[500] and not up[501] and up[502]
+    assert not _going_up(fill, 100, 0).any()
