@@ -19,7 +19,8 @@ class BoostedTrees:
     def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
         p = np.clip(y.mean(), 0.01, 0.99)
         self.base = float(np.log(p / (1 - p)))
-        cuts = [np.unique(np.quantile(x[:, j], np.linspace(0.03, 0.97, 17))) for j in range(x.shape[1])]
+        values = [np.unique(x[:, j]) for j in range(x.shape[1])]
+        cuts = [v if len(v) <= 17 else np.unique(np.quantile(x[:, j], np.linspace(0.03, 0.97, 17))) for j, v in enumerate(values)]  # a rare value of a flag counts
         cuts = [(c[:-1] + c[1:]) / 2 if len(c) > 1 else np.zeros(0) for c in cuts]
         score = np.full(len(y), self.base)
         for _ in range(self.rounds):

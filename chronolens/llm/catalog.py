@@ -31,8 +31,8 @@ def _screen_texts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, D
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     screens, subs, titles = _screen_texts(spark, sf)
     model = detector(screens.select("text").unionByName(titles))
-    in_screens = spans(screens, model).select("table_name", "record_key", "kind", "start_pos")
-    in_titles = spans(titles.select(F.col("text").alias("window_name"), "text"), model).join(subs, "window_name")
+    in_screens = spans(screens, *model).select("table_name", "record_key", "kind", "start_pos")
+    in_titles = spans(titles.select(F.col("text").alias("window_name"), "text"), *model).join(subs, "window_name")
     in_titles = in_titles.select(F.lit("sub_frames").alias("table_name"), F.col("sub_frame_id").alias("record_key"), "kind", "start_pos")
     return in_screens.unionByName(in_titles).withColumnRenamed("kind", "pii_kind").distinct()
 
@@ -41,9 +41,9 @@ def p1_redacted(spark: SparkSession, sf: str) -> DataFrame:
     """Every screen text and title with typed placeholders in place of what p1_found lists."""
     screens, subs, titles = _screen_texts(spark, sf)
     model = detector(screens.select("text").unionByName(titles))
-    clean = redact(titles.select(F.col("text").alias("window_name"), "text"), model)
+    clean = redact(titles.select(F.col("text").alias("window_name"), "text"), *model)
     named = subs.join(clean, "window_name", "left").select(F.lit("sub_frames").alias("table_name"), F.col("sub_frame_id").alias("record_key"), "text")
-    return redact(screens, model).unionByName(named).distinct()
+    return redact(screens, *model).unionByName(named).distinct()
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:

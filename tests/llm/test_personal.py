@@ -3,8 +3,9 @@ import random
 import numpy as np
 import pytest
 
+from chronolens.llm import personal
 from chronolens.llm.boosting import BoostedTrees
-from chronolens.llm.personal import PLACEHOLDERS, detector, redact, spans
+from chronolens.llm.personal import CUE, FORMAT, KINDS, PLACEHOLDERS, detector, redact, spans
 
 GIVEN = ["Alda", "Bruno", "Celeste", "Dario", "Edwina", "Florin", "Greta", "Hanno"]
 FAMILY = ["Ashcombe", "Bellweather", "Cranmoor", "Dunhollow", "Elmsworth", "Farrowby"]
@@ -47,22 +48,22 @@ def model(spark):
 def test_held_out_accuracy(spark, model):
     rows = made(2)
     df = spark.createDataFrame([(i, t, "kept", "x") for i, (t, _) in enumerate(rows)], "id int, text string, own string, kind string")
-    got = {(r.id, r.kind, r.start_pos) for r in spans(df, model).collect()}
+    got = {(r.id, r.kind, r.start_pos) for r in spans(df, *model).collect()}
     want = {(i, k, s) for i, (_, truth) in enumerate(rows) for k, s in truth}
     assert len(got & want) / len(want) > 0.97 and len(got & want) / len(got) > 0.97
 
 
 def test_redaction_keeps_the_rest(spark, model):
     rows = [(1, "Assignee Alda Cranmoor\nOpen Closed"), (2, None), (3, ""), (4, "plain " * 20_000 + "\nTel. (303) 555-0123"), (1, "Assignee Alda Cranmoor\nOpen Closed")]
-    got = sorted((r.id, r.text) for r in redact(spark.createDataFrame(rows, "id int, text string"), model).collect() if r.text)
+    got = sorted((r.id, r.text) for r in redact(spark.createDataFrame(rows, "id int, text string"), *model).collect() if r.text)
     assert got[0] == got[1] == (1, f"Assignee {PLACEHOLDERS['person']}\nOpen Closed")
     assert got[-1][1] == "plain " * 20_000 + f"\nTel. {PLACEHOLDERS['phone']}"
 
 
 def test_empty(spark):
     none = detector(spark.createDataFrame([], "text string"))
-    assert spans(spark.createDataFrame([("a Tel. (303) 555-0123",)], "text string"), none).count() == 0
-    assert spans(spark.createDataFrame([], "k int, text string"), none).count() == 0
+    assert spans(spark.createDataFrame([("a Tel. (303) 555-0123",)], "text string"), *none).count() == 0
+    assert spans(spark.createDataFrame([], "k int, text string"), *none).count() == 0
 
 
 def test_trees_learn_an_interaction():
@@ -71,3 +72,24 @@ def test_trees_learn_an_interaction():
     y = ((x[:, 0] > 0) ^ (x[:, 2] > 0.5)).astype(float)
     t = BoostedTrees().fit(x[:1500], y[:1500])
     assert ((t.predict(x[1500:]) > 0.5) == y[1500:]).mean() > 0.95
+
+
+def test_labels_come_from_context_and_trees_see_format(model):
+    assert CUE not in FORMAT
+    found = model[0]
+    for kind in KINDS:
+        n, recall, precision = found.held_out[kind]
+        assert n > 0 and recall > 0.8 and precision > 0.8, (kind, n, recall, precision)
+
+
+def test_more_names_than_are_broadcast(spark, model, monkeypatch):
+    rows = made(1)
+    df = spark.createDataFrame([(t,) for t, _ in rows] * 2 + [(None,), ("",)], "text string")
+    monkeypatch.setattr(personal, "NAMES_PART", 3)
+    found, names = detector(df)
+    assert names is not None and not found.names
+    asked = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(made(2, 80))] + [(-1, None), (-2, "")], "id int, text string")
+    rows_of = lambda *m: {tuple(r) for r in spans(asked, *m).collect()}
+    assert rows_of(found, names) == rows_of(*model) and rows_of(*model)
+    clean = lambda *m: sorted((r.id, r.text) for r in redact(asked.where("text <> ''"), *m).collect())
+    assert clean(found, names) == clean(*model)
