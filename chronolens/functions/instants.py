@@ -64,11 +64,6 @@ def _fields(u: Column) -> Column:
     return F.split(F.regexp_replace(_iso(u), WHOLE, "$1;$2;$3;$4;$5;$6;$7;$8;$9;$10;$11"), ";")
 
 
-def needs_device_zone(raw: Column) -> Column:
-    """True where the text is a wall-clock time that names no zone itself."""
-    return F.coalesce(let(_fields(tidy(raw)), lambda f: (F.size(f) == 11) & (F.get(f, F.lit(3)) == "T") & (F.get(f, F.lit(9)) == "") & (F.get(f, F.lit(10)) == "")), F.lit(False))
-
-
 def utc_micros(raw: Column, device_zone: Column, zones: list[str]) -> Column:
     """Microseconds since 1970-01-01 UTC that ``raw`` names, or null."""
 

@@ -1,9 +1,9 @@
 """Mixed timestamp formats and zones: a persisted dictionary of raw strings.
 
-Raw strings are reduced to distinct (text, zone) pairs, each pair is parsed
-once, the parsed pairs are kept as a Parquet table that later batches extend,
-and the instants are joined back to the rows. The zone is part of the key only
-for forms that need it, so one entry serves every device otherwise.
+Raw strings are reduced to distinct (text, zone of the source) pairs before
+anything else is done to them, each pair is parsed once, the parsed pairs are
+kept as a Parquet table that later batches and later runs extend, and the
+instants are joined back to the rows.
 """
 
 from __future__ import annotations
@@ -13,17 +13,26 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolens.functions.instants import CANONICAL, known_zones, needs_device_zone, utc_micros
+from chronolens.functions.instants import CANONICAL, known_zones, utc_micros
 from chronolens.sources.staging import new_path
 
+#: A session may name the folder of a dictionary that outlives it.
+SETTING = "spark.chronolens.instants"
+#: Stands for a missing zone; no zone has this name.
+NO_ZONE = "?"
+
 
 @dataclass
 class InstantDictionary:
-    """The persisted dictionary: columns raw, zone (``''`` if not needed), utc_us."""
+    """The persisted dictionary: columns raw, zone, utc_us; one row a pair. One writer at a time."""
 
     spark: SparkSession
     path: str
-    filled: bool = False
+
+    def filled(self) -> bool:
+        """Whether an earlier batch, of this run or another, was written completely."""
+        done = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_SUCCESS")
+        return done.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(done)
 
     def read(self) -> DataFrame:
         return self.spark.read.schema("raw string, zone string, utc_us long").parquet(self.path)
@@ -31,11 +40,10 @@ class InstantDictionary:
     def extend(self, keyed: DataFrame) -> DataFrame:
         """Parse the pairs of ``keyed`` that are not in the table yet and append them."""
         fresh = keyed.select("raw", "zone").distinct()
-        if self.filled:
+        if self.filled():
             fresh = fresh.join(self.read().select("raw", "zone"), ["raw", "zone"], "left_anti")
         parsed = fresh.withColumn("utc_us", utc_micros(F.col("raw"), F.col("zone"), known_zones(self.spark)))
         parsed.write.mode("append").parquet(self.path)
-        self.filled = True
         return self.read()
 
 
@@ -53,8 +61,7 @@ def field_rows(df: DataFrame, devices: DataFrame, table_name: str, key: str, fie
     """One field of a table as (table_name, record_key, field_name, raw, zone) rows."""
     rows = df.select(F.col(key).alias("record_key"), F.col(field).alias("raw"), F.col("device_name").alias("__of")).where(F.col("raw").isNotNull())
     rows = with_zone(rows, devices, "__of")
-    zone = F.when(needs_device_zone(F.col("raw")), F.coalesce("__zone", F.lit("?"))).otherwise(F.lit(""))
-    return rows.select(F.lit(table_name).alias("table_name"), "record_key", F.lit(field).alias("field_name"), "raw", zone.alias("zone"))
+    return rows.select(F.lit(table_name).alias("table_name"), "record_key", F.lit(field).alias("field_name"), "raw", F.coalesce("__zone", F.lit(NO_ZONE)).alias("zone"))
 
 
 def normalise(batches: list[DataFrame], dictionary: InstantDictionary) -> DataFrame:
@@ -82,4 +89,5 @@ def rewritten(batches: list[DataFrame], dictionary: InstantDictionary) -> DataFr
 
 
 def new_dictionary(spark: SparkSession) -> InstantDictionary:
-    return InstantDictionary(spark, new_path(spark, "instants"))
+    """The dictionary in the folder that SETTING names, else a fresh one in the shared folder."""
+    return InstantDictionary(spark, spark.conf.get(SETTING, None) or new_path(spark, "instants"))

@@ -4,8 +4,8 @@ from zoneinfo import ZoneInfo
 import pytest
 from pyspark.sql import functions as F
 
-from chronolens.functions.instants import known_zones, needs_device_zone, utc_micros
-from chronolens.operators.timestamps import field_rows, new_dictionary, normalise, rewritten
+from chronolens.functions.instants import known_zones, utc_micros
+from chronolens.operators.timestamps import SETTING, field_rows, new_dictionary, normalise, rewritten
 
 UTC = dt.timezone.utc
 
@@ -47,9 +47,8 @@ def test_forms(spark):
         assert r.got == r.want, r.raw and r.raw[:60]
 
 
-def test_zone_needed_and_unknown(spark):
+def test_unknown_zone(spark):
     df = spark.createDataFrame([("2025-10-12T20:35:08",), ("2025-10-12 20:35:08",), (None,)], "raw string")
-    assert [r[0] for r in df.select(needs_device_zone(F.col("raw"))).collect()] == [True, False, False]
     for zone in (None, "Mars/Base", ""):
         got = df.select(utc_micros(F.col("raw"), F.lit(zone).cast("string"), known_zones(spark))).collect()
         assert [r[0] is None for r in got] == [True, False, True]
@@ -83,3 +82,19 @@ def test_empty(spark):
     devices = spark.createDataFrame([], "device_name string, time_zone string")
     empty = spark.createDataFrame([], "k string, t string, device_name string")
     assert rewritten([field_rows(empty, devices, "t", "k", "t")], new_dictionary(spark)).count() == 0
+
+
+def test_a_dictionary_outlives_its_run(spark, tmp_path):
+    devices = spark.createDataFrame([("d", "Europe/Berlin")], "device_name string, time_zone string")
+    rows = lambda *raw: field_rows(spark.createDataFrame([(r, r, "d") for r in raw], "k string, t string, device_name string"), devices, "t", "k", "t")
+    spark.conf.set(SETTING, str(tmp_path / "instants"))
+    try:
+        first = rows("2025-10-12T20:35:08", "1758958870")
+        assert normalise([first], new_dictionary(spark)).count() == 2
+        files = sorted(p.name for p in (tmp_path / "instants").glob("*.parquet"))
+        again = normalise([first, rows("1758958870", "1758958871")], new_dictionary(spark))
+        assert again.count() == 4 and again.where("utc_us IS NULL").count() == 0
+        assert new_dictionary(spark).read().count() == 3
+        assert set(files) <= {p.name for p in (tmp_path / "instants").glob("*.parquet")}
+    finally:
+        spark.conf.unset(SETTING)
