@@ -103,7 +103,7 @@ WHERE utc_us IS NOT NULL AND NOT regexp_full_match(raw, '\\d{{4}}-\\d{{2}}-\\d{{
 
 _P2 = f"""
 WITH done AS ({_INSTANT.format(rows="SELECT sub_frame_id, device_name, lower(trim(app_name)) AS app_key, timestamp AS raw, device_name AS dev FROM sub_frames WHERE trim(app_name) <> ''")}),
-ev AS (SELECT sub_frame_id, min(device_name) AS device_name, min(app_key) AS app_key, min(utc_us) AS us FROM done WHERE utc_us IS NOT NULL GROUP BY sub_frame_id),
+ev AS (SELECT sub_frame_id, device_name, app_key, utc_us AS us FROM done WHERE utc_us IS NOT NULL QUALIFY row_number() OVER (PARTITION BY sub_frame_id ORDER BY device_name NULLS FIRST, app_key, utc_us) = 1),
 lab AS (SELECT sub_frame_id, lower(trim(activity_label)) AS label FROM activity_assignments
         QUALIFY row_number() OVER (PARTITION BY sub_frame_id ORDER BY cluster_updated_at DESC NULLS LAST, lower(trim(activity_label)) DESC NULLS LAST) = 1),
 marked AS (SELECT ev.*, label, CASE WHEN us - lag(us) OVER (PARTITION BY device_name, app_key ORDER BY us) > 1800000000 THEN 1 ELSE 0 END AS fresh FROM ev LEFT JOIN lab USING (sub_frame_id)),

@@ -15,13 +15,15 @@ from chronolens.sources.tables import table
 
 
 def _least(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(*[F.min(c).alias(c) for c in columns])
+    """One stored row a key: the least by all its columns in order, nulls first."""
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*columns)).alias("__row")).select(key, "__row.*")
 
 
 def frames(spark: SparkSession, sf: str) -> DataFrame:
-    """frame_id, us, device_name, monitor_id, image_path, video_chunk_id, offset_index, app, window."""
+    """frame_id, us, device_name, monitor_id, image_path, video_chunk_id, offset_index, app and window in
+    focus, own_app (null or empty for a picture of the full screen)."""
     rows = with_zone(table(spark, sf, "frames"), table(spark, sf, "devices"), "device_name")
-    rows = rows.select("frame_id", utc_micros(F.col("timestamp"), F.col("__zone"), known_zones(spark)).alias("us"), "device_name", "monitor_id", "image_path", "video_chunk_id", "offset_index", F.trim("focused_app_name").alias("app"), F.col("focused_window_name").alias("window"))
+    rows = rows.select("frame_id", utc_micros(F.col("timestamp"), F.col("__zone"), known_zones(spark)).alias("us"), "device_name", "monitor_id", "image_path", "video_chunk_id", "offset_index", F.trim("focused_app_name").alias("app"), F.col("focused_window_name").alias("window"), F.trim("app_name").alias("own_app"))
     return _least(rows, "frame_id", rows.columns[1:])
 
 
@@ -65,4 +67,4 @@ def vectors(spark: SparkSession, sf: str, dim: int = 64) -> DataFrame:
     usable = (F.size("embedding") == dim) & finite & F.exists("embedding", lambda x: x != 0)
     rows = table(spark, sf, "sub_frame_data").where(F.col("frame_id").isNotNull() & usable).select(F.col("frame_id").alias("key"), F.transform("embedding", lambda x: x.cast("double")).alias("v"), F.lower(F.trim("app_name")).alias("app"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    return rows.groupBy("key").agg(F.min("v").alias("v"), F.min("app").alias("app")).select("key", F.transform("v", lambda x: x / norm).alias("vector"), "app")
+    return _least(rows, "key", ["v", "app"]).select("key", F.transform("v", lambda x: x / norm).alias("vector"), "app")

@@ -1,14 +1,15 @@
 """Lineage cuts that survive the loss of an executor.
 
 Everything is written under ``spark.checkpoint.dir``, the folder that all
-executors share. Only where the session names none (tests, a laptop) is a
-temporary folder made.
+executors share. Only where the session names none and all runs in one process
+(tests, a laptop) is a temporary folder made; on a cluster that is an error.
 """
 
 from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -19,13 +20,15 @@ _SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one where the session names none."""
+    """The cluster's shared folder; in local mode a temporary one where the session names none."""
     found = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING, None)
     if found:
         return found.rstrip("/")
     known = spark.sparkContext.getCheckpointDir()
     if known:
         return known.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError(f"{_SETTING} must name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="spark-chronolens-")
     atexit.register(shutil.rmtree, made, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(f"file://{made}")
