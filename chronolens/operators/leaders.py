@@ -49,10 +49,10 @@ def assign_leaders(vectors: np.ndarray, threshold: float) -> np.ndarray:
     return Leaders(threshold).assign(vectors)
 
 
-def leader_clusters(rows: DataFrame, threshold: float = 0.82) -> DataFrame:
-    """(app, day, key, leader_no) from a stream of (app, day, us, key, vector); clusters outlast days.
+def leader_clusters(rows: DataFrame, threshold: float = 0.82, keys: tuple[str, ...] = ("app",)) -> DataFrame:
+    """(keys, day, key, leader_no) from a stream of (keys, day, us, key, vector); clusters outlast days.
 
-    State is the running means of an app. Rows of a micro-batch are put in order,
+    State is the running means of a key. Rows of a micro-batch are put in order,
     ties in time by key; across batches, arrival is the order. Nulls in vector are left out.
     """
     ship(rows.sparkSession)
@@ -62,10 +62,10 @@ def leader_clusters(rows: DataFrame, threshold: float = 0.82) -> DataFrame:
         pdf = pd.concat(list(parts)).sort_values(["us", "key"])
         numbers = held.assign(np.stack(pdf["vector"].to_numpy()).astype(float))
         state.update((pickle.dumps(held),))
-        yield pdf.assign(leader_no=numbers)[["app", "day", "key", "leader_no"]]
+        yield pdf.assign(leader_no=numbers)[[*keys, "day", "key", "leader_no"]]
 
-    clean = rows.where("vector IS NOT NULL").select("app", "day", "us", "key", "vector")
-    return clean.groupBy("app").applyInPandasWithState(update, "app string, day long, key string, leader_no long", "means binary", "append", "NoTimeout")
+    clean = rows.where("vector IS NOT NULL").select(*keys, "day", "us", "key", "vector")
+    return clean.groupBy(*keys).applyInPandasWithState(update, ", ".join(f"{k} string" for k in keys) + ", day long, key string, leader_no long", "means binary", "append", "NoTimeout")
 
 
 def last_kept(values: np.ndarray, threshold: float) -> np.ndarray:

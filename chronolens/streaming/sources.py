@@ -1,12 +1,13 @@
-"""Streams over table folders, and sinks that keep one row a key."""
+"""Streams over table folders, and where their results are drained to."""
 
 from __future__ import annotations
 
 import os
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from chronolens.sources.staging import new_path, stage
 
@@ -53,33 +54,31 @@ def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
 
 
 def latest_rows(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row a key: the last by ``order`` (all columns; later values win)."""
-    place = Window.partitionBy(*keys).orderBy(*[F.desc_nulls_last(c) for c in order])
-    return rows.withColumn("__place", F.row_number().over(place)).where("__place = 1").drop("__place")
+    """One row a key: the last by ``order``, then by the other columns; later values win, nulls lose."""
+    rest = [c for c in rows.columns if c not in keys and c not in order]
+    return rows.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("__last")).select(*keys, "__last.*").select(*rows.columns)
 
 
-class UpsertSink:
-    """A keyed table of Parquet generations; each micro-batch writes the next one.
+class UpdateLog:
+    """The updates that a streaming query emits, one folder for each micro-batch.
 
-    ``apply`` is for ``foreachBatch``: rows of the batch replace stored rows with
-    their keys, a repeated batch number is skipped, and readers see whole
-    generations only.
+    ``apply`` is for ``foreachBatch``: a batch that is run again replaces its own
+    folder. Readers reduce the updates of a key to the last one (``latest_rows``).
     """
 
-    def __init__(self, spark: SparkSession, keys: list[str], order: list[str], label: str = "upserts"):
-        self.keys, self.order, self.base = keys, order, new_path(spark, label)
-        self.generation, self.schema, self.last_batch = 0, None, -1
+    def __init__(self, updates: DataFrame, label: str):
+        self.base, self.schema = new_path(updates.sparkSession, label), updates.schema
 
     def apply(self, batch: DataFrame, number: int) -> None:
-        if number <= self.last_batch:
-            return
-        fresh = latest_rows(batch, self.keys, self.order)
-        if self.generation:
-            old = self.read(batch.sparkSession)
-            fresh = old.join(fresh.select(*self.keys), self.keys, "left_anti").unionByName(fresh)
-        fresh.write.mode("overwrite").parquet(f"{self.base}/{self.generation + 1}")
-        self.schema = batch.schema
-        self.generation, self.last_batch = self.generation + 1, number
-
-    def read(self, spark: SparkSession) -> DataFrame:
-        return spark.read.schema(self.schema).parquet(f"{self.base}/{self.generation}")
+        batch.write.mode("overwrite").parquet(f"{self.base}/batch={number}")
+
+    def drain(self, updates: DataFrame, mode: str = "append") -> DataFrame:
+        """Run ``updates`` over all that is there; its rows with their ``batch``."""
+        spark = updates.sparkSession
+        state = new_path(spark, "log-state")
+        updates.writeStream.outputMode(mode).foreachBatch(self.apply).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+        folder = spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        shape = StructType([*self.schema.fields, StructField("batch", LongType())])
+        if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            return spark.createDataFrame([], shape)
+        return spark.read.schema(shape).parquet(self.base)

@@ -9,9 +9,9 @@ from chronolens.functions.text import estimated_tokens, same_activity, tokens
 from chronolens.operators.focus import scores, streaks
 from chronolens.operators.leaders import anchor_groups, assign_leaders, last_kept, token_chunks
 from chronolens.operators.search import app_filter, merge_first, merge_ranges
-from chronolens.streaming.clusters import AppClusters, cluster_days, cluster_stream, replay
-from chronolens.streaming.sessions import extend, online_sessions
-from chronolens.streaming.sources import UpsertSink, drain
+from chronolens.streaming.clusters import AppClusters, cluster_days, cluster_stream, named_followers, replay
+from chronolens.streaming.sessions import extend, online_sessions, runs
+from chronolens.streaming.sources import UpdateLog, drain, latest_rows
 
 
 def test_focus_day(spark):
@@ -39,10 +39,12 @@ def test_sequences():
 
 
 def test_online_session_rule():
-    rows = [(600, "c1"), (601, "c1"), (720, "c2"), (725, "c2"), (726, "c1")]
-    touched, state = extend(None, rows)
+    us, what = [600, 601, 720, 725, 726], ["c1", "c1", "c2", "c2", "c1"]
+    assert runs(np.array(us), np.array(what, object)) == [(600, 601, "c1", 2), (720, 725, "c2", 2), (726, 726, "c1", 1)]
+    touched, state = extend(None, runs(np.array(us), np.array(what, object)))
+    assert extend(None, [(u, u, w, 1) for u, w in zip(us, what)]) == (touched, state)
     assert [t[1:] for t in touched] == [["c1", 600, 601, 2], ["c2", 720, 725, 2], ["c1", 726, 726, 1]]
-    late, _ = extend(state, [(660, "c1")])
+    late, _ = extend(state, [(660, 660, "c1", 1)])
     assert late == [[3, "c1", 660, 660, 1]]
 
 
@@ -100,7 +102,7 @@ def test_online_clusters_promote(spark):
     app = AppClusters()
     rows = pd.DataFrame(_events(np.random.default_rng(0), 60), columns=[f.split()[0] for f in _EVENT.split(", ")])
     out = replay(app, rows)
-    assert len(out) == 60 and len(app.groups) <= 8 and "committed" in {g.status for g in app.groups}
+    assert sum(r[2] == 0 for r in out) == 60 and len(app.groups) <= 8 and "committed" in {g.status for g in app.groups}
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -112,18 +114,27 @@ def test_stream_equals_batch(spark, tmp_path):
     assert key(streamed) == key(cluster_days(df))
 
 
+def test_followers_are_named_with_their_leader(spark):
+    rows = [("a", 0, i, 0, f"k{i}", [1.0, 0.1 * i], None) for i in range(4)] + [("a", 0, 2, 1, "k0", [], "mail"), ("b", 0, 1, 0, "x", [1.0, 0.0], None)]
+    got = {r.key: (r.status, r.label) for r in named_followers(cluster_days(spark.createDataFrame(rows, _EVENT))).collect()}
+    assert got == {"k0": ("committed", "mail"), "k1": ("committed", "mail"), "k2": ("committed", "mail"), "k3": ("committed", "mail"), "x": ("pending", None)}
+
+
 def test_online_sessions_across_batches(spark, tmp_path):
-    for i, rows in enumerate([[("a", 1, "x"), ("a", 2, "x")], [("a", 3, "x"), ("a", 0, "x")]]):
-        spark.createDataFrame(rows, "app string, us long, what string").coalesce(1).write.parquet(str(tmp_path / f"in/b{i}"))
-    stream = spark.readStream.schema("app string, us long, what string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    shape = "device_name string, app string, us long, what string"
+    for i, rows in enumerate([[("d", "a", 1, "x"), ("d", "a", 2, "x"), (None, "a", 2, "y")], [("d", "a", 3, "x"), ("d", "a", 0, "x"), (None, "a", 5, "y"), (None, None, 5, "y")]]):
+        spark.createDataFrame(rows, shape).coalesce(1).write.parquet(str(tmp_path / f"in/b{i}"))
+    stream = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
     got = drain(online_sessions(stream), "test-sessions").collect()
-    assert sum(1 for _ in got) >= 2 and {r.what for r in got} == {"x"}
+    assert {(r.device_name, r.app, r.what) for r in got} == {("d", "a", "x"), (None, "a", "y")}
+    assert sum(n for n in [max(r.n for r in got if r.device_name == "d" and r.session == s) for s in {r.session for r in got if r.device_name == "d"}]) == 4
 
 
-def test_upserts_skip_repeated_batches(spark):
-    sink = UpsertSink(spark, ["k"], ["v"], "test-upserts")
+def test_updates_of_repeated_batches_count_once(spark):
     batch = lambda rows: spark.createDataFrame(rows, "k string, v int")
-    sink.apply(batch([("a", 1), ("a", 2), ("b", 1)]), 0)
-    sink.apply(batch([("b", 5), ("c", 1)]), 1)
-    sink.apply(batch([("a", 99)]), 1)
-    assert {tuple(r) for r in sink.read(spark).collect()} == {("a", 2), ("b", 5), ("c", 1)}
+    log = UpdateLog(batch([]), "test-updates")
+    log.apply(batch([("a", 1), ("a", 2), ("b", 1)]), 0)
+    log.apply(batch([("b", 99)]), 1)
+    log.apply(batch([("b", 5), ("c", None)]), 1)  # run again
+    rows = spark.read.schema("k string, v int, batch long").parquet(log.base)
+    assert {tuple(r) for r in latest_rows(rows, ["k"], ["batch"]).drop("batch").collect()} == {("a", 2), ("b", 5), ("c", None)}
