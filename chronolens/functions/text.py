@@ -7,20 +7,27 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Token patterns, and words too common to say anything.
+#: Token patterns, and the words too common to say anything, as required for equal counts.
 ASCII_TOKEN = "[a-zA-Z_][a-zA-Z0-9_]{2,}"
 CJK_TOKEN = "[一-鿿]{2,}"
-STOP_WORDS = ["and", "are", "about", "but", "did", "does", "for", "from", "has", "have", "into", "not", "now", "the", "then", "that", "this", "was", "with", "you"]
+STOP_WORDS = """
+the a an is are was were be been being have has had do does did will would could should may might can shall
+to of in for on with at by from as into through during before after and but or not no if then else when
+up out so than too very just about it its this that these those he she they we you i me my your his her
+our their what which who whom how all each every both few more most other some such only own same new
+的 了 在 是 我 有 和 就 不 人 都 一 一个 上 也 很 到 说 要 去 你 会 着 没有 看 好 自己 这
+""".split()
 
 
 def tokens(text: Column, longest: int = 50) -> Column:
     """Identifier-like words of three letters or more, then runs of two CJK characters or more.
 
-    Stop words are compared in lower case, words keep their own; ASCII words
-    longer than ``longest`` are left out. Null gives an empty array.
+    Stop words are compared in lower case, words keep their own; runs of CJK
+    characters are compared too; ASCII words longer than ``longest`` are left out.
+    Null gives an empty array.
     """
     plain = F.filter(F.regexp_extract_all(text, F.lit(ASCII_TOKEN), F.lit(0)), lambda w: ~F.lower(w).isin(STOP_WORDS) & (F.length(w) <= longest))
-    cjk = F.regexp_extract_all(text, F.lit(CJK_TOKEN), F.lit(0))
+    cjk = F.filter(F.regexp_extract_all(text, F.lit(CJK_TOKEN), F.lit(0)), lambda w: ~w.isin(STOP_WORDS))
     return F.coalesce(F.concat(plain, cjk), F.array().cast("array<string>"))
 
 
@@ -55,3 +62,9 @@ def safe_name(name: Column, longest: int = 50) -> Column:
 
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
+
+
+def readable_size(size: Column) -> Column:
+    """Bytes as B, KB, MB or GB (powers of 1 024), one decimal from KB on."""
+    at = lambda power, unit: F.format_string(f"%.1f {unit}", size / 1024.0**power)
+    return F.when(size < 1024, F.format_string("%d B", size)).when(size < 1024**2, at(1, "KB")).when(size < 1024**3, at(2, "MB")).otherwise(at(3, "GB"))

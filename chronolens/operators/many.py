@@ -218,3 +218,37 @@ def merge_first_each(lists: list[DataFrame]) -> DataFrame:
         part = one.select("key", F.lit(no).alias("list_no"), "query", "place")
         every = part if every is None else every.unionByName(part)
     return every.groupBy("key").agg(F.min(F.struct("list_no", "query", "place")).alias("f")).select("key", "f.*")
+
+
+def best_of_app(rows: DataFrame, centres: DataFrame) -> DataFrame:
+    """(key, id, similarity): for each of ``rows`` (key, app, vector) the most similar of ``centres``
+    (id, app, vector) of its own app.
+
+    Vectors have unit length; cosines are rounded to 6 decimals, ties go to the
+    smaller id. Centres go out in passes; a task multiplies the rows of an app in a
+    batch with the app's centres. Null apps match nothing.
+    """
+    sc, every, asked = ship(rows.sparkSession), None, stage(centres.where("app IS NOT NULL").select(F.col("id").alias("query"), "app", "vector"), "centres")
+    for table in _passes(asked):
+        apps = np.array(table.column("app").to_pylist(), object)
+        shared = sc.broadcast((table.column("query").to_numpy(), _matrix(table.column("vector"), table.num_rows), {a: np.flatnonzero(apps == a) for a in set(apps)}))
+
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, wide, of = shared.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                own, mine = np.array(batch.column(1).to_pylist(), object), _matrix(batch.column(2), batch.num_rows)
+                for app in set(own) & set(of):
+                    at, there = np.flatnonzero(own == app), of[app][np.argsort(ids[of[app]], kind="stable")]
+                    for s in range(0, len(at), BLOCK):
+                        cosine = np.round(mine[at[s : s + BLOCK]] @ wide[there].T, 6)
+                        best = cosine.argmax(1)  # ties: the smaller id
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at[s : s + BLOCK])), pa.array(ids[there[best]]), pa.array(cosine[np.arange(len(best)), best])], names=["key", "id", "similarity"])
+
+        one = rows.select("key", "app", "vector").mapInArrow(search, "key string, id long, similarity double")
+        every = one if every is None else every.unionByName(one)
+    if every is None:
+        return rows.sparkSession.createDataFrame([], "key string, id long, similarity double")
+    best = every.groupBy("key").agg(F.max(F.struct("similarity", (-F.col("id")).alias("minus"))).alias("b"))
+    return best.select("key", (-F.col("b.minus")).alias("id"), F.col("b.similarity").alias("similarity"))

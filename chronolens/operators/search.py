@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
@@ -107,3 +108,8 @@ def merge_ranges(start: Column, end: Column, other_start: Column, other_end: Col
     low, high = F.greatest(start, other_start), F.least(end, other_end)
     empty = (low > high) & (start.isNotNull() | end.isNotNull())
     return F.when(empty, start).otherwise(low), F.when(empty, end).otherwise(high)
+
+
+def search_by(mode: str, lists: dict[str, Callable[[], DataFrame]], spark: SparkSession) -> DataFrame:
+    """The list of ``mode``, made only when it is asked for; an unknown mode finds nothing."""
+    return lists[mode]() if mode in lists else spark.createDataFrame([], "key string")

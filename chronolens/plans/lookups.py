@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronolens.functions.text import safe_name
+from chronolens.functions.text import readable_size, safe_name
 from chronolens.plans.analytics import DAY_US, END_US, START_US
 from chronolens.plans.prelude import sql
 from chronolens.sources import domain
@@ -257,10 +257,12 @@ def absolute_paths(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "frames").select("frame_id", "image_path").distinct().select("frame_id", F.when(path.isNull() | kept, path).otherwise(F.concat(F.lit("/data/"), path)).alias("image_path"))
 
 
-@_query(sql("", "SELECT device_name, count(*) AS files, sum(frame_count)::BIGINT AS frames, format('{:.4f} MB', sum(frame_count) / 16.0) AS size FROM (SELECT DISTINCT * FROM video_chunks) GROUP BY 1"))
+@_query(sql("tx su", "b AS (SELECT s.device_name, sum(octet_length(encode(t.text)))::BIGINT AS bytes, count(*) AS texts FROM tx t JOIN su s USING (sub_frame_id) WHERE t.text IS NOT NULL GROUP BY 1) ;; SELECT device_name, texts, bytes, CASE WHEN bytes < 1024 THEN bytes || ' B' WHEN bytes < 1048576 THEN format('{:.1f} KB', bytes / 1024.0) WHEN bytes < 1073741824 THEN format('{:.1f} MB', bytes / 1048576.0) ELSE format('{:.1f} GB', bytes / 1073741824.0) END AS size FROM b"))
 def storage_size(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "video_chunks").distinct().groupBy("device_name").agg(F.count(F.lit(1)).alias("files"), F.sum("frame_count").alias("frames"))
-    return rows.select("device_name", "files", "frames", F.format_string("%.4f MB", F.col("frames") / 16).alias("size"))
+    """Bytes of recognised text that each device has stored, also in readable form."""
+    subs = domain.sub_frames(spark, sf).select("sub_frame_id", "device_name")
+    rows = domain.texts(spark, sf).where("text IS NOT NULL").select("sub_frame_id", F.octet_length("text").cast("long").alias("b")).join(subs, "sub_frame_id")
+    return rows.groupBy("device_name").agg(F.count(F.lit(1)).alias("texts"), F.sum("b").alias("bytes")).withColumn("size", readable_size(F.col("bytes")))
 
 
 @_query(sql("cl tx", "SELECT c.id, c.representative_frame_ids[1] AS frame FROM cl c LEFT JOIN (SELECT DISTINCT sub_frame_id FROM tx WHERE trim(text) <> '') t ON t.sub_frame_id = c.representative_frame_ids[1] WHERE t.sub_frame_id IS NULL"))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from chronolens.functions.text import any_of, estimated_tokens, plain_label, same_activity
 from chronolens.operators.leaders import bursts, changed_rows, leader_clusters, report_chunks
+from chronolens.operators.many import best_of_app
 from chronolens.operators.search import app_filter, bm25, fuse_ranks, fuse_scores, merge_first, merge_ranges, nearest_rows
-from chronolens.plans.analytics import DAY_US, _sessions
+from chronolens.plans.analytics import _SESSION, DAY_US, _sessions
 from chronolens.plans.prelude import sql
 from chronolens.sources import domain
 from chronolens.sources.tables import table
@@ -139,22 +140,19 @@ _CENTRES = "ce AS (SELECT id, app, list_transform(centroid, lambda x: x::DOUBLE
 
 @_query(sql("ve cl", f"{_CENTRES}, s AS (SELECT v.key, e.id, round({_COS.format(a='v.vector', b='e.c')}, 6) AS similarity FROM ve v JOIN ce e ON e.app = v.app) ;; SELECT key, id, similarity FROM s QUALIFY row_number() OVER (PARTITION BY key ORDER BY similarity DESC, id) = 1"))
 def nearest_centroid(spark: SparkSession, sf: str) -> DataFrame:
-    """Each capture's most similar cluster of its own app, by partial aggregation (no sort of pairs)."""
+    """Each capture's most similar cluster of its own app."""
     norm = F.sqrt(F.aggregate("centroid", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
     good = (F.size("centroid") == 64) & F.exists("centroid", lambda x: x != 0)
-    centres = domain.clusters(spark, sf).where(good).select("id", "app", F.transform("centroid", lambda x: x.cast("double") / norm).alias("c"))
-    pairs = domain.vectors(spark, sf).join(centres, "app")
-    similarity = F.round(F.aggregate(F.zip_with("vector", "c", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x), 6)
-    best = pairs.groupBy("key").agg(F.max(F.struct(similarity.alias("similarity"), (-F.col("id")).alias("minus"))).alias("b"))
-    return best.select("key", (-F.col("b.minus")).alias("id"), F.col("b.similarity").alias("similarity"))
+    centres = domain.clusters(spark, sf).where(good).select("id", "app", F.transform("centroid", lambda x: x.cast("double") / norm).alias("vector"))
+    return best_of_app(domain.vectors(spark, sf), centres)
 
 
 @_query()
 def leaders(spark: SparkSession, sf: str) -> DataFrame:
-    """Leader clusters of each app over all its days."""
-    when = domain.sub_frames(spark, sf).where("us IS NOT NULL").select(F.col("sub_frame_id").alias("key"), "us", F.floor(F.col("us") / DAY_US).alias("day"))
-    rows = domain.vectors(spark, sf).join(when, "key").select("app", "day", "us", "key", "vector")
-    return drain(leader_clusters(ordered_stream(rows, ["us", "key"], "leaders")), "leaders")
+    """Leader clusters of each device's app over all its days."""
+    when = domain.sub_frames(spark, sf).where("us IS NOT NULL").select(F.col("sub_frame_id").alias("key"), "device_name", "us", F.floor(F.col("us") / DAY_US).alias("day"))
+    rows = domain.vectors(spark, sf).join(when, "key").select("device_name", "app", "day", "us", "key", "vector")
+    return drain(leader_clusters(ordered_stream(rows, ["us", "key"], "leaders"), keys=("device_name", "app")), "leaders")
 
 
 _LABELS = "l AS (SELECT app, label, count(*) AS n FROM asg WHERE label <> '' GROUP BY 1, 2)"
@@ -202,26 +200,36 @@ def changed_frames(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where((F.col("no") == 1) | ~F.col("app").eqNullSafe(F.col("before"))).select("frame_id", "device_name", "us", "app")
 
 
-@_query()
+@_query("""WITH RECURSIVE e AS (SELECT event_type, ts::DATE AS day, ts, event_id, value, row_number() OVER (PARTITION BY event_type, ts::DATE ORDER BY ts, event_id) AS no FROM events WHERE value IS NOT NULL),
+    r AS (SELECT event_type, day, ts, event_id, value, no, value AS held, true AS keep FROM e WHERE no = 1
+        UNION ALL SELECT e.event_type, e.day, e.ts, e.event_id, e.value, e.no, CASE WHEN abs(e.value - r.held) > 5 THEN e.value ELSE r.held END, abs(e.value - r.held) > 5 FROM r JOIN e ON e.event_type = r.event_type AND e.day = r.day AND e.no = r.no + 1)
+    SELECT event_type, strftime(day, '%Y-%m-%d') AS day, epoch_us(ts) AS at, event_id, value FROM r WHERE keep""")
 def changed_events(spark: SparkSession, sf: str) -> DataFrame:
     """Events whose value differs by more than 5 from the last one kept, for each type and day."""
-    rows = table(spark, sf, "events").select("event_type", F.to_date("ts").alias("day"), F.col("ts").cast("string").alias("at"), "event_id", "value")
+    rows = table(spark, sf, "events").select("event_type", F.to_date("ts").cast("string").alias("day"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", "value")
     return changed_rows(rows, ["event_type", "day"], ["at", "event_id"], "value", 5.0)
 
 
-@_query()
+@_query(sql("su", """u AS (SELECT device_name, us // 86400000000 AS day, us, row_number() OVER (PARTITION BY device_name, us // 86400000000 ORDER BY us) AS no FROM su WHERE us IS NOT NULL),
+    r AS (SELECT *, us AS anchor FROM u WHERE no = 1 UNION ALL SELECT u.*, CASE WHEN u.us - r.anchor >= 1000000 THEN u.us ELSE r.anchor END FROM r JOIN u ON u.device_name IS NOT DISTINCT FROM r.device_name AND u.day = r.day AND u.no = r.no + 1) ;;
+    SELECT device_name, day, anchor AS start_us, max(us) AS end_us, count(*) AS n FROM r GROUP BY 1, 2, 3""").replace("WITH", "WITH RECURSIVE", 1))
 def burst_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Windows captured within a second of a group's first, for each device and day."""
     rows = domain.sub_frames(spark, sf).where("us IS NOT NULL").select("device_name", F.floor(F.col("us") / DAY_US).alias("day"), "us")
     return bursts(rows, ["device_name", "day"], 1_000_000)
 
 
-@_query()
+@_query(sql("asg cl su", f"""{_SESSION}, rs AS (SELECT s.device_name, s.app, start_us // 86400000000 AS day, start_us, end_us, CASE WHEN length(concat_ws('/', s.app, c.label)) = 0 THEN 0 ELSE greatest(1, length(concat_ws('/', s.app, c.label)) // 3) END + 20 AS tokens FROM se s LEFT JOIN cl c ON c.id = s.cluster_id),
+    o AS (SELECT *, row_number() OVER (PARTITION BY device_name, app, day ORDER BY start_us, end_us, tokens) AS no FROM rs),
+    r AS (SELECT *, 0::BIGINT AS chunk_no, tokens AS used FROM o WHERE no = 1
+        UNION ALL SELECT o.*, r.chunk_no + (r.used + o.tokens > 400 OR o.start_us - r.end_us > 600000000)::BIGINT, CASE WHEN r.used + o.tokens > 400 OR o.start_us - r.end_us > 600000000 THEN 0 ELSE r.used END + o.tokens
+            FROM r JOIN o ON o.device_name IS NOT DISTINCT FROM r.device_name AND o.app IS NOT DISTINCT FROM r.app AND o.day = r.day AND o.no = r.no + 1) ;;
+    SELECT device_name, app, day, chunk_no, min(start_us) AS start_us, max(end_us) AS end_us, count(*) AS sessions, sum(tokens)::BIGINT AS tokens FROM r GROUP BY 1, 2, 3, 4""").replace("WITH", "WITH RECURSIVE", 1))
 def report_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    """Each day's sessions of an app in chunks of at most 400 estimated tokens and gaps of 10 minutes."""
+    """Each day's sessions of a device's app in chunks of at most 400 estimated tokens and gaps of 10 minutes."""
     names = domain.clusters(spark, sf).select(F.col("id").alias("cluster_id"), "label")
-    rows = _sessions(spark, sf).join(names, "cluster_id", "left").select("app", F.floor(F.col("start_us") / DAY_US).alias("day"), "start_us", "end_us", (estimated_tokens(F.concat_ws("/", "app", "label")) + 20).alias("tokens"))
-    return report_chunks(rows, ["app", "day"], 400, 600_000_000)
+    rows = _sessions(spark, sf).join(names, "cluster_id", "left").select("device_name", "app", F.floor(F.col("start_us") / DAY_US).alias("day"), "start_us", "end_us", (estimated_tokens(F.concat_ws("/", "app", "label")) + 20).alias("tokens"))
+    return report_chunks(rows, ["device_name", "app", "day"], 400, 600_000_000)
 
 
 @_query(sql("tx su", "d AS (SELECT s.app, s.us // 86400000000 AS day, left(trim(t.text), 200) AS snippet, min((t.confidence * -1, t.id)) AS k FROM tx t JOIN su s USING (sub_frame_id) WHERE trim(t.text) <> '' AND t.confidence IS NOT NULL AND s.us IS NOT NULL GROUP BY 1, 2, 3), r AS (SELECT *, sum(length(snippet)) OVER (PARTITION BY app, day ORDER BY k ROWS UNBOUNDED PRECEDING) AS used FROM d) ;; SELECT app, day, count(*) AS snippets, sum(length(snippet))::BIGINT AS characters FROM r WHERE used <= 4000 GROUP BY 1, 2"))
