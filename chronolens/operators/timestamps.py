@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolens.functions.instants import CANONICAL, known_zones, utc_micros
-from chronolens.sources.staging import new_path
+from chronolens.sources.staging import new_path, written
 
 #: A session may name the folder of a dictionary that outlives it.
 SETTING = "spark.chronolens.instants"
@@ -29,18 +29,13 @@ class InstantDictionary:
     spark: SparkSession
     path: str
 
-    def filled(self) -> bool:
-        """Whether an earlier batch, of this run or another, was written completely."""
-        done = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_SUCCESS")
-        return done.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(done)
-
     def read(self) -> DataFrame:
         return self.spark.read.schema("raw string, zone string, utc_us long").parquet(self.path)
 
     def extend(self, keyed: DataFrame) -> DataFrame:
         """Parse the pairs of ``keyed`` that are not in the table yet and append them."""
         fresh = keyed.select("raw", "zone").distinct()
-        if self.filled():
+        if written(self.spark, self.path):
             fresh = fresh.join(self.read().select("raw", "zone"), ["raw", "zone"], "left_anti")
         parsed = fresh.withColumn("utc_us", utc_micros(F.col("raw"), F.col("zone"), known_zones(self.spark)))
         parsed.write.mode("append").parquet(self.path)

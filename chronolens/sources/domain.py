@@ -1,7 +1,10 @@
 """The activity memory's tables as clean views: one row a record, real instants.
 
 Repeated rows with one key count once, keys are trimmed and lower-cased where
-they refer to another table, and text times become UTC microseconds.
+they refer to another table, and text times become UTC microseconds. Frames and
+sub_frames, whose text times have to be parsed and whose rows have to be shuffled
+to find repeated ones, are kept in the shared folder in the order of time once a
+session has made them, so a time range reads only the row groups it needs.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from pyspark.sql import functions as F
 
 from chronolens.functions.instants import known_zones, utc_micros
 from chronolens.operators.timestamps import with_zone
+from chronolens.sources.staging import new_path, written
 from chronolens.sources.tables import table
 
 
@@ -19,19 +23,44 @@ def _least(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*columns)).alias("__row")).select(key, "__row.*")
 
 
+#: Bytes of stored tables that make one file of a kept view.
+BYTES_A_FILE = 16 << 20
+_kept: dict[tuple, str] = {}
+
+
+def _state(spark: SparkSession, sf: str, name: str) -> tuple:
+    """What tells whether a stored table is still the same: its bytes, files and time of change."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/{name}.parquet")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    summary = fs.getContentSummary(path)
+    return summary.getLength(), summary.getFileCount(), fs.getFileStatus(path).getModificationTime()
+
+
+def _in_time_order(spark: SparkSession, sf: str, name: str, view: DataFrame) -> DataFrame:
+    """``view`` of table ``name``, written in the order of ``us`` when first asked for; made
+    again for tables that have changed since."""
+    own = _state(spark, sf, name)
+    key = (spark.sparkContext.applicationId, sf, name, own, _state(spark, sf, "devices"))
+    if key not in _kept or not written(spark, _kept[key]):
+        path = new_path(spark, f"{name}-view")
+        view.repartitionByRange(max(1, -(-own[0] // BYTES_A_FILE)), "us").sortWithinPartitions("us").write.parquet(path)
+        _kept[key] = path
+    return spark.read.schema(view.schema).parquet(_kept[key])
+
+
 def frames(spark: SparkSession, sf: str) -> DataFrame:
     """frame_id, us, device_name, monitor_id, image_path, video_chunk_id, offset_index, app and window in
     focus, own_app (null or empty for a picture of the full screen)."""
     rows = with_zone(table(spark, sf, "frames"), table(spark, sf, "devices"), "device_name")
     rows = rows.select("frame_id", utc_micros(F.col("timestamp"), F.col("__zone"), known_zones(spark)).alias("us"), "device_name", "monitor_id", "image_path", "video_chunk_id", "offset_index", F.trim("focused_app_name").alias("app"), F.col("focused_window_name").alias("window"), F.trim("app_name").alias("own_app"))
-    return _least(rows, "frame_id", rows.columns[1:])
+    return _in_time_order(spark, sf, "frames", _least(rows, "frame_id", rows.columns[1:]))
 
 
 def sub_frames(spark: SparkSession, sf: str) -> DataFrame:
     """sub_frame_id, us, device_name, app (trimmed, lower case), window_name, window_chunk_id, offset_index."""
     rows = with_zone(table(spark, sf, "sub_frames"), table(spark, sf, "devices"), "device_name")
     rows = rows.select("sub_frame_id", utc_micros(F.col("timestamp"), F.col("__zone"), known_zones(spark)).alias("us"), "device_name", F.lower(F.trim("app_name")).alias("app"), "window_name", "window_chunk_id", "offset_index")
-    return _least(rows, "sub_frame_id", rows.columns[1:])
+    return _in_time_order(spark, sf, "sub_frames", _least(rows, "sub_frame_id", rows.columns[1:]))
 
 
 def mapping(spark: SparkSession, sf: str) -> DataFrame:

@@ -40,6 +40,12 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/chronolens/{label}-{os.getpid()}-{uuid.uuid4().hex[:12]}"
 
 
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a table at ``path`` was written completely (and is still there)."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back."""
     spark = df.sparkSession
