@@ -184,6 +184,48 @@ def p10_composition(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("doc_kind", "subject_code").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n_sentences").alias("n_sentences"))
 
 
+_P4 = """v AS MATERIALIZED (SELECT DISTINCT frame_id AS key, embedding::DOUBLE[] AS v FROM sub_frame_data WHERE frame_id IS NOT NULL AND len(embedding) = 64 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
+e AS MATERIALIZED (SELECT DISTINCT a.key AS a, b.key AS b FROM v a JOIN v b ON a.key <> b.key WHERE list_cosine_similarity(a.v, b.v) >= 0.8),
+r AS (SELECT DISTINCT a AS key, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.key),
+f AS (SELECT key AS sub_frame_id, min(root) AS cluster_key FROM r GROUP BY key)"""
+P4_SQL = f"WITH RECURSIVE {_P4} SELECT * FROM f"
+P4_CLUSTERS_SQL = f"""WITH RECURSIVE {_P4},
+u AS (SELECT f.cluster_key, v.key, list_transform(v.v, lambda x: x / sqrt(list_sum(list_transform(v.v, lambda y: y * y)))) AS u FROM f JOIN v ON v.key = f.sub_frame_id),
+s AS (SELECT cluster_key, list(x ORDER BY i) AS s FROM (SELECT cluster_key, i, sum(u[i]) AS x FROM u, range(1, 65) t(i) GROUP BY 1, 2) GROUP BY 1),
+n AS (SELECT cluster_key, count(DISTINCT key) AS n_members, count(*) AS n FROM u GROUP BY 1),
+t AS (SELECT u.cluster_key, u.key, n_members, row_number() OVER (PARTITION BY u.cluster_key ORDER BY round(list_dot_product(u.u, s.s) / n, 9) DESC, u.key) AS place FROM u JOIN s USING (cluster_key) JOIN n USING (cluster_key)),
+l AS (SELECT sub_frame_id, activity_cluster_id AS claimed FROM activity_assignments QUALIFY row_number() OVER (PARTITION BY sub_frame_id ORDER BY cluster_updated_at DESC NULLS LAST, activity_cluster_id DESC NULLS LAST) = 1),
+c AS (SELECT cluster_key, claimed, count(*) AS n FROM f JOIN l USING (sub_frame_id) WHERE claimed IS NOT NULL GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY cluster_key ORDER BY count(*) DESC, claimed) = 1),
+k AS (SELECT id, max(frame_count) AS claimed_count FROM activity_clusters GROUP BY 1),
+m AS (SELECT cluster_key, n_members, string_agg(key, ',' ORDER BY place) AS typical FROM t WHERE place <= 3 GROUP BY 1, 2)
+SELECT m.cluster_key, n_members, typical, c.claimed AS claimed_cluster_id, c.n AS n_agreeing, claimed_count FROM m LEFT JOIN c USING (cluster_key) LEFT JOIN k ON k.id = c.claimed
+"""
+
+P6_GROUPS_SQL = r"""
+WITH RECURSIVE docs AS (SELECT 'text' AS field_name, id::VARCHAR AS key, text FROM ocr_text UNION SELECT DISTINCT 'window_name', window_name, window_name FROM sub_frames),
+w AS (SELECT DISTINCT field_name, key, list_sort(list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> ''))) AS w FROM docs WHERE text IS NOT NULL),
+s AS MATERIALIZED (SELECT *, len(w) AS n FROM w WHERE len(w) >= CASE field_name WHEN 'text' THEN 8 ELSE 5 END),
+c AS MATERIALIZED (SELECT row_number() OVER (ORDER BY field_name, w) AS id, * FROM (SELECT field_name, w, len(w) AS n, min(key) AS least_key, count(*) AS n_same_set FROM s GROUP BY 1, 2)),
+p AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON a.field_name = b.field_name AND a.id <> b.id AND least(a.n, b.n) * 10 >= greatest(a.n, b.n) * 7 WHERE len(list_intersect(a.w, b.w)) * 17 >= (a.n + b.n) * 7),
+r AS (SELECT id, id AS root FROM c UNION SELECT p.b, r.root FROM r JOIN p ON p.a = r.id),
+g AS (SELECT id, min(root) AS root FROM r GROUP BY id), m AS (SELECT a, count(*) AS n FROM p GROUP BY 1),
+k AS (SELECT c.*, coalesce(m.n, 0) AS n_similar_sets, min(least_key) OVER (PARTITION BY root) AS group_key FROM c JOIN g USING (id) LEFT JOIN m ON m.a = c.id)
+SELECT s.field_name, s.key, group_key, n_similar_sets, n_same_set FROM s JOIN k ON k.field_name = s.field_name AND k.w = s.w WHERE n_same_set > 1 OR n_similar_sets > 0
+"""
+
+# DuckDB has no NFKC: wide letters and the ligatures are rewritten one by one
+_P9_WORDS = "list_filter(string_split_regex(lower(translate(replace(replace(regexp_replace(text, '[\\x{00AD}\\x{200B}\\x{200C}\\x{200D}\\x{2060}\\x{FEFF}]', '', 'g'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), '" + "".join(map(chr, range(0xFF01, 0xFF5F))).replace("'", "''") + "', '" + "".join(map(chr, range(0x21, 0x7F))).replace("'", "''") + "')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+_P9 = f"""items AS MATERIALIZED (SELECT DISTINCT item_id, {_P9_WORDS} AS w FROM eval_items WHERE item_id IS NOT NULL AND text IS NOT NULL),
+i AS MATERIALIZED (SELECT DISTINCT item_id, least(len(w), 12) AS n, array_to_string(w[k + 1 : k + least(len(w), 12)], ' ') AS g FROM items, unnest(range(greatest(len(w) - 11, 1))) t(k) WHERE len(w) > 0),
+docs AS (SELECT DISTINCT doc_id, {_P9_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+h AS (SELECT DISTINCT d.doc_id, i.item_id, k AS first_word, k + i.n - 1 AS last_word FROM (SELECT doc_id, l.n, k, array_to_string(w[k + 1 : k + l.n], ' ') AS g FROM docs, (SELECT DISTINCT n FROM i) l, unnest(range(len(w) - l.n + 1)) t(k)) d JOIN i ON i.n = d.n AND i.g = d.g)"""
+P9_SQL = f"WITH {_P9} SELECT DISTINCT doc_id, item_id FROM h"
+P9_SPANS_SQL = f"""WITH {_P9},
+m AS (SELECT *, CASE WHEN first_word > max(last_word) OVER (PARTITION BY doc_id, item_id ORDER BY first_word, last_word ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 1 ELSE 0 END AS fresh FROM h),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, item_id ORDER BY first_word, last_word ROWS UNBOUNDED PRECEDING) AS no FROM m)
+SELECT doc_id, item_id, min(first_word) AS first_word, max(last_word) AS last_word FROM n GROUP BY doc_id, item_id, no
+"""
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_redacted": p1_redacted,
@@ -200,4 +242,6 @@ QUERIES = {
     "p10_found": p10_found,
     "p10_composition": p10_composition,
 }
-ORACLE = {"p6_found": P6_SQL, "p7_found": P7_SQL, "p8_checks": P8_CHECKS_SQL}
+ORACLE = {
+    "p4_found": P4_SQL, "p4_clusters": P4_CLUSTERS_SQL, "p6_found": P6_SQL, "p6_groups": P6_GROUPS_SQL, "p7_found": P7_SQL, "p8_checks": P8_CHECKS_SQL, "p9_found": P9_SQL, "p9_spans": P9_SPANS_SQL,
+}

@@ -23,8 +23,8 @@ from chronolens.sources.shipping import ship
 
 #: Consecutive words that make a leak, words in a shard, distance of sampled positions.
 PHRASE, SHARD_WORDS, SAMPLE = 12, 400_000, 16
-#: Test items taken in one pass; more items are taken in further passes.
-ITEMS_A_PASS = 20_000
+#: Test items, and characters of them, taken in one pass; more are taken in further passes.
+ITEMS_A_PASS, CHARS_A_PASS = 20_000, 20_000_000
 
 _WORD = re.compile(r"[^\W_]+")
 # soft hyphen, zero-width characters, word joiner, byte order mark
@@ -174,7 +174,8 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """
     spark = documents.sparkSession
     tests = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text").distinct()
-    passes = max(1, -(-tests.count() // ITEMS_A_PASS))
+    count, chars = tests.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    passes = max(1, -(-count // ITEMS_A_PASS), -(-chars // CHARS_A_PASS))
     docs = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
     out = None
     for p in range(passes):
