@@ -1,4 +1,4 @@
-"""Rectangles on screens: texts to regions, overlapping regions to one."""
+"""Rectangles on screens: texts to regions, regions inside others."""
 
 from __future__ import annotations
 
@@ -30,24 +30,20 @@ def assign_regions(texts: DataFrame, regions: DataFrame) -> DataFrame:
     return best.select("image", "text_no", (-F.col("b.minus")).alias("region_no"))
 
 
-def merged_boxes(boxes: list[tuple], least_iou: float = 0.5, least_inside: float = 0.8) -> list[tuple]:
-    """Boxes, largest first, each joined to the first kept one that it overlaps enough."""
+def merged_boxes(boxes: list[tuple], inside: float = 0.5) -> list[tuple]:
+    """Boxes, largest first, without those of which more than ``inside`` lies in a larger one
+    that stays. Boxes without area lie in none."""
     area = lambda b: max(0, b[2] - b[0]) * max(0, b[3] - b[1])
     kept: list[tuple] = []
     for box in sorted(boxes, key=lambda b: (-area(b), b)):
-        for i, k in enumerate(kept):
-            shared = max(0, min(box[2], k[2]) - max(box[0], k[0])) * max(0, min(box[3], k[3]) - max(box[1], k[1]))
-            union = area(box) + area(k) - shared
-            if shared and (shared / union >= least_iou or shared / max(min(area(box), area(k)), 1) >= least_inside):
-                kept[i] = (min(box[0], k[0]), min(box[1], k[1]), max(box[2], k[2]), max(box[3], k[3]))
-                break
-        else:
+        shared = [max(0, min(box[2], k[2]) - max(box[0], k[0])) * max(0, min(box[3], k[3]) - max(box[1], k[1])) for k in kept]
+        if not area(box) or all(s <= inside * area(box) for s in shared):
             kept.append(box)
     return kept
 
 
 def merge_regions(regions: DataFrame) -> DataFrame:
-    """(image, region_no, x1, y1, x2, y2) with overlapping boxes of an image joined, in reading order."""
+    """(image, region_no, x1, y1, x2, y2): an image's boxes without those inside others, in reading order."""
     ship(regions.sparkSession)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:

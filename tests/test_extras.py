@@ -21,6 +21,7 @@ def test_point_in_region(spark):
 
 def test_boxes(spark):
     assert merged_boxes([(0, 0, 10, 10), (1, 1, 9, 9), (50, 50, 60, 60)]) == [(0, 0, 10, 10), (50, 50, 60, 60)]
+    assert merged_boxes([(0, 0, 10, 10), (4, 0, 14, 9), (6, 0, 15, 9), (3, 3, 3, 9)]) == [(0, 0, 10, 10), (6, 0, 15, 9), (3, 3, 3, 9)]
     df = spark.createDataFrame([("a", 50, 50, 60, 60), ("a", 0, 0, 10, 10), ("a", 1, 1, 9, 9), ("a", None, 1, 1, 1)], "image string, x1 long, y1 long, x2 long, y2 long")
     assert sorted(tuple(r) for r in merge_regions(df).collect()) == [("a", 0, 0, 0, 10, 10), ("a", 1, 50, 50, 60, 60)]
     lines = spark.createDataFrame([("a", 2, 1, 1, "second"), ("a", 1, 5, 2, "right"), ("a", 1, 0, 3, "left"), ("a", 0, 0, 4, "  ")], "image string, y int, x int, id int, text string")
