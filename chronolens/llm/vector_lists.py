@@ -32,9 +32,12 @@ from chronolens.sources.staging import stage
 SAMPLE_ROWS = 32_768
 #: Rows for one list; lists of one node (2 MB of centroids); entries in a part of a list.
 ROWS_A_LIST, FAN_OUT, LIST_BOUND = 96, 8_192, 2_048
+#: Rows whose entries are a partition's, some 12 MB, however many there are; entries of one
+#: list that meet its centroids in one task.
+ROWS_A_PARTITION, ROWS_A_TASK = 8_000, 50_000
 #: Near centroids that a centroid has edges to; pivots that a walk starts from and their
 #: centroids at most; centroids that a walk holds, and follows at least; so few that no graph is needed.
-DEGREE, PIVOTS, STARTS, WIDTH, LEAST, EXACT = 16, 24, 24, 24, 4, 256
+DEGREE, PIVOTS, STARTS, WIDTH, LEAST, EXACT = 16, 24, 24, 16, 3, 256
 
 
 def usable(vector: Column, dim: int) -> Column:
@@ -114,19 +117,21 @@ class CentroidGraph:
         self.pivots = (np.where(filled[:, :, None], self.centres[self.starts], 0).sum(1) / filled.sum(1, keepdims=True)).astype(np.float32)
         self.pivot_norms = (self.pivots**2).sum(1)
 
-    def walk(self, x: np.ndarray, ratio: float, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-        """(row, centroid): the centroids that each row's walk found within ``ratio`` of its nearest.
+    def walk(self, x: np.ndarray, ratio: float, width: int = WIDTH, reach: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(row, centroid): the centroids that each row's walk found within ``ratio`` of its nearest,
+        or within the row's squared distance ``reach``.
 
         A walk holds its ``width`` nearest centroids so far and follows the edges of
         each of them that is within the ratio, until none is left.
         """
         width = min(width, self.n)
-        out = [self._block(x[s : s + 1024], ratio * ratio, width) for s in range(0, len(x), 1024)]
+        reach = np.zeros(len(x), np.float32) if reach is None else reach
+        out = [self._block(x[s : s + 1024], ratio * ratio, width, reach[s : s + 1024, None]) for s in range(0, len(x), 1024)]
         if not out:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate([r + 1024 * i for i, (r, _) in enumerate(out)]), np.concatenate([c for _, c in out])
 
-    def _block(self, x: np.ndarray, limit: float, width: int) -> tuple[np.ndarray, np.ndarray]:
+    def _block(self, x: np.ndarray, limit: float, width: int, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         own = (x**2).sum(1, keepdims=True)
         if self.flat:
             dist = np.maximum(own + self.norms[None, :] - 2 * x @ self.centres.T, 1e-12)
@@ -135,11 +140,11 @@ class CentroidGraph:
                 held = np.argpartition(dist, width - 1, axis=1)[:, :width]
                 dist = np.take_along_axis(dist, held, 1)
         else:
-            held, dist = self._walked(x, own, limit, width)
-        row, place = np.nonzero(dist <= limit * dist.min(1, keepdims=True))
+            held, dist = self._walked(x, own, limit, width, reach)
+        row, place = np.nonzero(dist <= np.maximum(limit * dist.min(1, keepdims=True), reach))
         return row, held[row, place]
 
-    def _walked(self, x: np.ndarray, own: np.ndarray, limit: float, width: int) -> tuple[np.ndarray, np.ndarray]:
+    def _walked(self, x: np.ndarray, own: np.ndarray, limit: float, width: int, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         m = len(x)
         far = self.pivot_norms[None, :] - 2 * x @ self.pivots.T
         first = np.argpartition(far, min(PIVOTS, far.shape[1]) - 1, axis=1)[:, :PIVOTS]
@@ -154,8 +159,8 @@ class CentroidGraph:
         live = np.arange(m)
         while len(live):
             d = dist[live]
-            reach = np.maximum(limit * d.min(1, keepdims=True), np.partition(d, LEAST, axis=1)[:, LEAST : LEAST + 1])
-            open_ = np.where(done[live] | (d > reach), np.inf, d)
+            followed = np.maximum(np.maximum(limit * d.min(1, keepdims=True), reach[live]), np.partition(d, LEAST, axis=1)[:, LEAST : LEAST + 1])
+            open_ = np.where(done[live] | (d > followed), np.inf, d)
             at = open_.argmin(1)
             going = np.isfinite(open_[np.arange(len(live)), at])
             live, at = live[going], at[going]
@@ -188,14 +193,17 @@ class ListIndex:
     projection: np.ndarray | None
     ratio: float
     parts: np.ndarray | None = None
+    reach: float = 0.0
     graph: CentroidGraph = field(init=False)
 
     def __post_init__(self):
         self.graph = CentroidGraph(self.centres)
 
-    def lists_of(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) for the nearest list and each further one within the ratio."""
-        return self.graph.walk(units if self.projection is None else units @ self.projection, self.ratio)
+    def lists_of(self, units: np.ndarray, asks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list) for the nearest list and each further one within the ratio; what only ``asks``
+        and is no candidate also looks into lists whose centroid is similar enough itself."""
+        reach = None if asks is None else np.where(asks, np.float32(self.reach), np.float32(0))
+        return self.graph.walk(units if self.projection is None else units @ self.projection, self.ratio, reach=reach)
 
     def cut(self, points: np.ndarray, scale: float, bound: int | None) -> ListIndex:
         """Sets ``parts`` by how many of the sample's ``points``, each standing for ``scale`` rows, a list has."""
@@ -206,15 +214,16 @@ class ListIndex:
         return self
 
 
-def fit_node(points: np.ndarray, n_lists: int, dim: int, ratio: float, projection: np.ndarray | None, scale: float, bound: int | None) -> ListIndex:
+def fit_node(points: np.ndarray, n_lists: int, dim: int, ratio: float, projection: np.ndarray | None, scale: float, bound: int | None, reach: float = 0.0) -> ListIndex:
     """The index of one node, fitted on unit vectors that stand for ``scale`` rows each."""
     centres = fit_centroids(points, n_lists) if projection is None else fit_plain(points @ projection, n_lists)
-    return ListIndex(dim, centres, projection, ratio).cut(points, scale, bound)
+    return ListIndex(dim, centres, projection, ratio, reach=reach).cut(points, scale, bound)
 
 
-def fit_index(vectors: DataFrame, dim: int, ratio: float, reduced: int | None, fan_out: int, rows_a_list: int, sample_rows: int, bound: int | None) -> tuple[int, ListIndex]:
+def fit_index(vectors: DataFrame, dim: int, ratio: float, reduced: int | None, fan_out: int, rows_a_list: int, sample_rows: int, bound: int | None, reach: float) -> tuple[int, ListIndex]:
     """(rows, the first node), fitted on about ``sample_rows`` rows chosen by a hash of the key; rows
     only decide where lists lie, every row is indexed later. No usable rows: one list."""
+    vectors = vectors.where("kind = 0")
     total = vectors.count()
     step = max(1, -(-total // sample_rows))
     sample = vectors.where(F.pmod(F.xxhash64("key", "vector"), F.lit(step)) == 0).select("vector").limit(2 * sample_rows).toArrow()
@@ -225,7 +234,7 @@ def fit_index(vectors: DataFrame, dim: int, ratio: float, reduced: int | None, f
     if reduced and reduced < dim and len(points) > reduced:
         _, axes = np.linalg.eigh(points.T @ points)
         projection = np.ascontiguousarray(axes[:, ::-1][:, :reduced]).astype(np.float32)
-    return total, fit_node(points, int(np.clip(total // rows_a_list, 1, fan_out)), dim, ratio, projection, total / max(len(points), 1), None if deep else bound)
+    return total, fit_node(points, int(np.clip(total // rows_a_list, 1, fan_out)), dim, ratio, projection, total / max(len(points), 1), None if deep else bound, reach)
 
 
 def fit_plain(points: np.ndarray, n_lists: int) -> np.ndarray:
@@ -262,7 +271,7 @@ def _vectors(flat: np.ndarray, dim: int) -> pa.ListArray:
 def _placed(index: ListIndex, base: int, kind: np.ndarray, k1: np.ndarray, k2: np.ndarray, keys: list[list[str]], raw: np.ndarray) -> pa.RecordBatch:
     """Entries of the node's lists; lists are numbered from ``base``. An entry of a list in
     parts stands in the cell of its part with each other part."""
-    at, to = index.lists_of(unit(raw.astype(np.float64)).astype(np.float32))
+    at, to = index.lists_of(unit(raw.astype(np.float64)).astype(np.float32), kind == 1)
     cell = base + to
     if index.parts is not None and (index.parts > 1).any():
         n = index.parts[to]
@@ -287,10 +296,10 @@ def _deeper(entries: DataFrame, sizes: DataFrame, index: ListIndex, fan_out: int
     rows there where they lie: a list of many rows is spread over several tasks, each
     with a copy of the centroids.
     """
-    dim, ratio, projection = index.dim, index.ratio, index.projection
+    dim, ratio, projection, reach = index.dim, index.ratio, index.projection, index.reach
     n_lists = F.least(F.lit(fan_out), F.greatest(F.lit(1), F.floor(F.col("n") / rows_a_list)))
     wanted = F.least(F.lit(sample_rows), n_lists * F.lit(max(4, sample_rows // fan_out)))
-    sizes = sizes.withColumn("n_lists", n_lists).withColumn("part_of", F.least(F.lit(1.0), wanted / F.col("n"))).withColumn("tasks", F.ceil(F.col("n") / 50_000))
+    sizes = sizes.withColumn("n_lists", n_lists).withColumn("part_of", F.least(F.lit(1.0), wanted / F.col("n"))).withColumn("tasks", F.ceil(F.col("n") / ROWS_A_TASK))
     chosen = F.pmod(F.xxhash64("k2"), F.lit(1 << 20)) < F.col("part_of") * (1 << 20)
     sample = entries.join(sizes, "list").where(chosen).select("list", "n_lists", "part_of", "vector")
 
@@ -314,12 +323,12 @@ def _deeper(entries: DataFrame, sizes: DataFrame, index: ListIndex, fan_out: int
                 continue
             where = batch.column(0).to_numpy()
             place = batch.column(2).to_numpy()
-            edges = [0, *(np.flatnonzero((where[1:] != where[:-1]) | (place[1:] < place[:-1])) + 1).tolist(), len(where)]
+            edges = [0, *(np.flatnonzero((where[1:] != where[:-1]) | (place[1:] == 0)) + 1).tolist(), len(where)]
             for start, end in zip(edges[:-1], edges[1:]):
                 run = batch.slice(start, end - start)
                 if place[start] == 0:
                     pack = np.asarray(run.column(7)[0].values, np.float32).reshape(-1, width)
-                    node, at, run = ListIndex(dim, pack[:, :-1], projection, ratio, pack[:, -1].astype(np.int64)), where[start], run.slice(1)
+                    node, at, run = ListIndex(dim, pack[:, :-1], projection, ratio, pack[:, -1].astype(np.int64), reach), where[start], run.slice(1)
                 if not run.num_rows:
                     continue
                 if at != where[start]:  # a list without a sampled row stays whole
@@ -332,15 +341,16 @@ def _deeper(entries: DataFrame, sizes: DataFrame, index: ListIndex, fan_out: int
 
 
 def to_lists(
-    vectors: DataFrame, dim: int, ratio: float, kept: int, reduced: int | None = None, fan_out: int = FAN_OUT, rows_a_list: int = ROWS_A_LIST, sample_rows: int = SAMPLE_ROWS, bound: int | None = LIST_BOUND
+    vectors: DataFrame, dim: int, ratio: float, kept: int, reduced: int | None = None, fan_out: int = FAN_OUT, rows_a_list: int = ROWS_A_LIST, sample_rows: int = SAMPLE_ROWS, bound: int | None = LIST_BOUND, reach: float = 0.0
 ) -> DataFrame:
     """Entries (ENTRY) of every list, sorted by cell inside their partition; ``kept`` keys for equal vectors.
 
     ``vectors`` has (key, kind, vector). One level of lists serves up to 4 x
     ``fan_out`` x ``rows_a_list`` rows; beyond that lists are cut again, level by
-    level. ``bound`` None keeps lists whole.
+    level. ``bound`` None keeps lists whole; ``reach`` is the squared distance within
+    which rows of kind 1 look into a list.
     """
-    total, index = fit_index(vectors, dim, ratio, reduced, fan_out, rows_a_list, sample_rows, bound)
+    total, index = fit_index(vectors, dim, ratio, reduced, fan_out, rows_a_list, sample_rows, bound, reach)
     shared = ship(vectors.sparkSession).broadcast(index)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,7 +374,7 @@ def to_lists(
             entries = _deeper(entries, sizes, index, fan_out, rows_a_list, sample_rows, bound)
             if largest <= 4 * fan_out * rows_a_list:
                 break
-    return entries.repartition("cell").sortWithinPartitions("cell")
+    return entries.repartition(max(8, -(-total // ROWS_A_PARTITION)), "cell").sortWithinPartitions("cell")
 
 
 @dataclass
