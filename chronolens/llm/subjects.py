@@ -19,11 +19,12 @@ sentences.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ SUBJECTS_MAX = 2_000
 FUNCTIONS = ["words", "pairs", "section", "source", "address"]
 CONTEXT = [2, 3, 4]
 _ADDRESS = r"https?://[^\s/]+|\b[a-z]+-[0-9]{2,}[0-9a-z]*\b"
-_SECTION, _SENTENCE, _WORD = re.compile(r"\n\s*\n|\n(?=#)"), re.compile(r"(?<=[.!?;])\s+|\n+"), re.compile(r"[\w-]+")
+_SECTION, _SENTENCE, _WORD = re.compile(r"\n\s*\n|\n(?=#)"), re.compile(r"[.!?;]\s+|\n+"), re.compile(r"[\w-]+")
 
 
 class _Hashes(dict):
@@ -50,11 +51,18 @@ class _Hashes(dict):
         return h
 
 
-def _masked(titles: list[str]) -> re.Pattern | None:
-    """The subjects' own titles: they name folders and banners as often as matter."""
+def _mask(titles: list[str]) -> Callable[[str], str]:
+    """Takes the subjects' own titles out of a lower-case text: they name folders and banners as
+    often as matter. Words of a title may stand any white space apart, but not inside a word."""
     if not titles:
-        return None
-    return re.compile(r"(?i)(?<![^\W_])(?:" + "|".join(r"\s+".join(re.escape(w) for w in t.split()) for t in sorted(titles, key=len, reverse=True)) + r")(?![^\W_])")
+        return lambda text: text
+    # no boundary in front: the first letters of the titles then tell where to look
+    found = re.compile("(?:" + "|".join(r"\s+".join(re.escape(w) for w in t.lower().split()) for t in sorted(titles, key=len, reverse=True)) + r")(?![^\W_])")
+
+    def blank(m: re.Match) -> str:
+        return m.group() if m.start() and m.string[m.start() - 1].isalnum() else " "
+
+    return lambda text: found.sub(blank, text)
 
 
 _SENTENCES = "doc_id long, section int, sentence int, words array<long>"
@@ -66,20 +74,18 @@ def sentences(documents: DataFrame, titles: list[str]) -> DataFrame:
     ``titles`` are taken out of the texts first. Null ids and texts have no sentences.
     """
     ship(documents.sparkSession)
-    masked = _masked(titles)
+    mask = _mask(titles)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
             ids, sections, numbers, words, ends = [], [], [], [], [0]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if masked:
-                    text = masked.sub(" ", text)
                 no = 0
-                for section, body in enumerate(_SECTION.split(text.replace("_", " "))):
+                for section, body in enumerate(_SECTION.split(mask(text.lower().replace("_", " ")))):
                     for s in _SENTENCE.split(body):
                         if len(s) > 2:
-                            words += [hashes[w] for w in _WORD.findall(s.lower())]
+                            words += [hashes[w] for w in _WORD.findall(s)]
                             ids.append(doc_id)
                             sections.append(section)
                             numbers.append(no)
@@ -100,23 +106,25 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(), np.repeat(np.arange(len(column)), lengths)
 
 
-def _once(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each (row, hash) once, in order of rows."""
-    order = np.lexsort((h, row))
-    h, row = h[order], row[order]
-    fresh = np.ones(len(h), bool)
-    fresh[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-    return h[fresh], row[fresh]
+class Grams:
+    """Distinct grams of the sentences of a batch: ``h`` the batch's gram hashes, each once, ``code``
+    and ``row`` the place in ``h`` and the sentence of each occurrence, by row."""
+
+    def __init__(self, h: np.ndarray, row: np.ndarray):
+        coded = pa.array(h).dictionary_encode()  # by a hash table: nothing is sorted
+        self.h, size = coded.dictionary.to_numpy(), max(len(coded.dictionary), 1)
+        once = pc.unique(pa.array(row * size + coded.indices.to_numpy())).to_numpy()
+        self.row, self.code = once // size, once % size
 
 
-def grams_of(column: pa.Array) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """((hash, row) of distinct words, (hash, row) of distinct neighbouring pairs) of hashed sentences."""
+def grams_of(column: pa.Array) -> tuple[Grams, Grams]:
+    """The words and the neighbouring word pairs of hashed sentences."""
     h, row = _lists(column)
     beside = np.flatnonzero(row[1:] == row[:-1])
     a, b = h[beside].view(np.uint64), h[beside + 1].view(np.uint64)
     mixed = a * np.uint64(0x9E3779B97F4A7C15) ^ (b + np.uint64(0x165667B19E3779F9)) * np.uint64(0xC2B2AE3D27D4EB4F)
     mixed ^= mixed >> np.uint64(29)
-    return _once(h, row), _once(mixed.view(np.int64), row[beside])
+    return Grams(h, row), Grams(mixed.view(np.int64), row[beside])
 
 
 class Lexicon:
@@ -129,13 +137,19 @@ class Lexicon:
         self.subject = rows.column("subject").to_numpy()[order].astype(np.int64)
         self.weight = rows.column("weight").to_numpy()[order]
 
-    def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(which grams are in the lexicon, their entries)."""
+    def find(self, grams: Grams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which occurrences are known, their subjects, their weights)."""
         if not len(self.h):
-            return np.zeros(len(grams), bool), np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(self.h, grams), len(self.h) - 1)
-        known = self.h[at] == grams
-        return known, at[known]
+            return np.zeros(len(grams.row), bool), np.zeros(0, np.int64), np.zeros(0)
+        at = np.minimum(np.searchsorted(self.h, grams.h), len(self.h) - 1)
+        known = (self.h[at] == grams.h)[grams.code]
+        entry = at[grams.code[known]]
+        return known, self.subject[entry], self.weight[entry]
+
+    def votes(self, grams: Grams, rows: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(sums of each sentence by subject, known occurrences, their subjects, their weights)."""
+        known, subject, weight = self.find(grams)
+        return np.bincount(grams.row[known] * n + subject, weight, rows * n).astype(float).reshape(-1, n), known, subject, weight
 
 
 class Parts:
@@ -163,11 +177,11 @@ def said(grams: DataFrame, parts: Parts, n: int) -> DataFrame:
         def look(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             lexicon = shared.value
             for batch in batches:
-                for pair, (h, row) in enumerate(grams_of(batch.column(3))):
-                    known, entry = lexicon.find(h)
-                    at, back = np.unique(row[known] * n + lexicon.subject[entry], return_inverse=True)
+                for pair, grams in enumerate(grams_of(batch.column(3))):
+                    known, subject, weight = lexicon.find(grams)
+                    at, back = np.unique(grams.row[known] * n + subject, return_inverse=True)
                     take = pa.array(at // n)
-                    weight, hits = np.bincount(back, lexicon.weight[entry], len(at)), np.bincount(back, minlength=len(at)).astype(np.int32)
+                    weight, hits = np.bincount(back, weight, len(at)), np.bincount(back, minlength=len(at)).astype(np.int32)
                     yield pa.RecordBatch.from_arrays(
                         [*(batch.column(i).take(take) for i in range(3)), pa.array(np.full(len(at), bool(pair))), pa.array((at % n).astype(np.int32)), pa.array(weight.astype(float)), pa.array(hits)],
                         names=["doc_id", "section", "sentence", "pair", "subject", "weight", "hits"],
@@ -189,8 +203,8 @@ def first_lexicon(documents: DataFrame, labels: DataFrame, titles: list[str], le
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            (h, row), (h2, row2) = grams_of(batch.column(3))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate([row, row2]))), pa.array(np.concatenate([h, h2]))], names=["doc_id", "h"])
+            for grams in grams_of(batch.column(3)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(grams.row)), pa.array(grams.h[grams.code])], names=["doc_id", "h"])
 
     rows = sentences(texts, titles).mapInArrow(gather, "doc_id long, h long").distinct().join(each, "doc_id")
     rows = rows.select("h", F.explode("of").alias("subject"), (1.0 / F.size("of")).alias("w"))
@@ -210,6 +224,12 @@ def _best(counts: DataFrame, least: int, share: float, covered: float = 0.0) ->
     return kept.select("h", F.col("top.subject").cast("int").alias("subject"), F.log((part + 0.01) / (1.01 - part) * 10 + 1).alias("weight"), part.alias("part"))
 
 
+def best_of(sums: np.ndarray) -> np.ndarray:
+    """The subject with the largest sum of each row, -1 where nothing is said."""
+    best = sums.argmax(1)
+    return np.where(sums[np.arange(len(best)), best] > 1e-6, best, -1)
+
+
 def second_lexicon(grams: DataFrame, first: DataFrame, n: int, least: int = 3, share: float = 0.8, covered: float = 0.5, part: int = LEXICON_PART) -> DataFrame:
     """The lexicon anew from all sentences, each gram judged by the others around it.
 
@@ -233,23 +253,20 @@ def second_lexicon(grams: DataFrame, first: DataFrame, n: int, least: int = 3, s
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                (h, row), (h2, row2) = grams_of(batch.column(3))
-                h, row = np.concatenate([h, h2]), np.concatenate([row, row2])
-                if whole > 1:
-                    own = h % whole == p
-                    h, row = h[own], row[own]
-                known, entry = lexicon.find(h)
-                if whole > 1:
-                    total = np.asarray(batch.column(4).flatten()).reshape(-1, n)
-                else:
-                    total = np.bincount(row[known] * n + lexicon.subject[entry], lexicon.weight[entry], batch.num_rows * n).astype(float).reshape(-1, n)
-                others = total[row]
-                others[np.flatnonzero(known), lexicon.subject[entry]] -= lexicon.weight[entry]
-                best = others.argmax(1)
-                best[others[np.arange(len(h)), best] <= 1e-6] = -1  # a sentence that says nothing else
-                code, back = np.unique(h, return_inverse=True)
-                keys, w = np.unique(back.reshape(-1) * (n + 1) + best + 1, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(code[keys // (n + 1)]), pa.array((keys % (n + 1) - 1).astype(np.int32)), pa.array(w.astype(np.float64))], names=["h", "subject", "w"])
+                both = grams_of(batch.column(3))
+                seen = [lexicon.votes(grams, batch.num_rows, n) for grams in both]
+                total = np.asarray(batch.column(4).flatten()).reshape(-1, n) if whole > 1 else seen[0][0] + seen[1][0]
+                says = best_of(total)
+                for grams, (_, known, subject, weight) in zip(both, seen):
+                    best = says[grams.row]
+                    others = total[grams.row[known]]  # without the gram's own vote
+                    others[np.arange(len(others)), subject] -= weight
+                    best[known] = best_of(others)
+                    counted = np.bincount(grams.code * (n + 1) + best + 1, minlength=len(grams.h) * (n + 1))
+                    keys = np.flatnonzero(counted)
+                    h = grams.h[keys // (n + 1)]
+                    own = h % whole == p  # the others are another pass's
+                    yield pa.RecordBatch.from_arrays([pa.array(h[own]), pa.array((keys % (n + 1) - 1)[own].astype(np.int32)), pa.array(counted[keys][own].astype(np.float64))], names=["h", "subject", "w"])
 
         one = rows.mapInArrow(count, "h long, subject int, w double")
         counts = one if counts is None else counts.unionByName(one)
@@ -276,10 +293,9 @@ def lexicon_votes(grams: DataFrame, lexicon: DataFrame, n: int, part: int = LEXI
             if not batch.num_rows:
                 continue
             hits, picked = np.zeros(batch.num_rows, np.int64), []
-            for h, row in grams_of(batch.column(3)):
-                known, entry = lexicon.find(h)
-                v = np.bincount(row[known] * n + lexicon.subject[entry], lexicon.weight[entry], batch.num_rows * n).reshape(-1, n)
-                hits += np.bincount(row[known], minlength=batch.num_rows)
+            for grams in grams_of(batch.column(3)):
+                v, known, _, _ = lexicon.votes(grams, batch.num_rows, n)
+                hits += np.bincount(grams.row[known], minlength=batch.num_rows)
                 picked.append(pa.array(v.argmax(1).astype(np.int32), mask=v.max(1) <= 0))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *picked], names=["doc_id", "section", "words", "pairs"]).filter(pa.array(hits >= 2))
 
@@ -366,7 +382,7 @@ def subjects_of(documents: DataFrame, subjects: DataFrame, labels: DataFrame, sh
 
     each = votes.withColumn("own", F.coalesce("pairs", "words"))
     section = _modal(each, ["doc_id", "section"], "own", "section_vote")
-    addressed = docs.select("doc_id", "source", F.regexp_extract(F.coalesce("text", F.lit("")), _ADDRESS, 0).alias("address"))
+    addressed = stage(docs.select("doc_id", "source", F.regexp_extract(F.coalesce("text", F.lit("")), _ADDRESS, 0).alias("address")), "addresses")
     labelled = known.join(addressed, "doc_id")
     source = _modal(labelled.where(F.col("source").isNotNull()), ["source"], "subject", "source_vote")
     address = _modal(labelled.where(F.col("address") != ""), ["address"], "subject", "address_vote")
