@@ -32,9 +32,9 @@ from chronolens.sources.staging import stage
 SAMPLE_ROWS = 32_768
 #: Rows for one list; lists of one node (2 MB of centroids); entries in a part of a list.
 ROWS_A_LIST, FAN_OUT, LIST_BOUND = 96, 8_192, 2_048
-#: Rows whose entries are a partition's, some 12 MB, however many there are; entries of one
+#: Rows whose entries are a partition's, some 14 MB, however many there are; entries of one
 #: list that meet its centroids in one task.
-ROWS_A_PARTITION, ROWS_A_TASK = 8_000, 50_000
+ROWS_A_PARTITION, ROWS_A_TASK = 12_000, 50_000
 #: Near centroids that a centroid has edges to; pivots that a walk starts from and their
 #: centroids at most; centroids that a walk holds, and follows at least; so few that no graph is needed.
 DEGREE, PIVOTS, STARTS, WIDTH, LEAST, EXACT = 16, 24, 24, 16, 3, 256
