@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from chronolens.sources.staging import new_path, stage
+from chronolens.sources.staging import new_path
 
 #: Rows of a micro-batch, about so many, where a stream is made from a table in order.
 ROWS_A_BATCH = 50_000
@@ -30,9 +30,8 @@ def ordered_stream(rows: DataFrame, order: list[str], label: str, rows_a_batch:
     """``rows`` as a stream whose micro-batches follow each other by ``order``, each about
     ``rows_a_batch`` rows: files of consecutive ranges, read one a batch by their times."""
     spark = rows.sparkSession
-    whole = stage(rows, f"{label}-rows")
     path = new_path(spark, f"{label}-ordered")
-    whole.repartitionByRange(max(1, -(-whole.count() // rows_a_batch)), *order).write.parquet(path)
+    rows.repartitionByRange(max(1, -(-rows.count() // rows_a_batch)), *order).write.parquet(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     files = sorted((f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")), key=lambda f: f.getName())
