@@ -235,7 +235,7 @@ def train(sample: list[str], names: dict) -> Detector:
     x, y, held = np.array(x, float), np.array(y, float), np.array(held)
     if held.all() or not held.any():
         held = np.zeros(len(y), bool)
-    trees = BoostedTrees(rounds=60, depth=4).fit(format_view(x[~held]), y[~held])
+    trees = BoostedTrees().fit(format_view(x[~held]), y[~held])
     found = Detector(names, trees, dict.fromkeys(KINDS, 0.5))
     raw = trees.predict(format_view(x))
     for k, kind in enumerate(KINDS):
