@@ -27,6 +27,28 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def blocks(batches: Iterator[pa.RecordBatch], key: str, rows: int) -> Iterator[pa.Table]:
+    """Tables of whole groups, as few as hold ``rows`` rows or more; for many small groups."""
+    held: list[pa.RecordBatch] = []
+    count = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        count += batch.num_rows
+        if count < rows:
+            continue
+        keys = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
+        edges = np.flatnonzero(keys[1:] != keys[:-1])
+        if len(edges):
+            end = int(edges[-1]) + 1
+            yield pa.Table.from_batches([*held[:-1], batch.slice(0, end)])
+            held = [batch.slice(end)]
+            count = held[0].num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     """A list column whose rows all have ``dim`` floats, as an (n, dim) array."""
     if isinstance(column, pa.ChunkedArray):

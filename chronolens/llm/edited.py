@@ -20,12 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolens.llm.arrow_groups import grouped
+from chronolens.llm.arrow_groups import blocks, grouped
 from chronolens.sources.shipping import ship
-from chronolens.sources.staging import stage
+from chronolens.sources.staging import drop, stage, stage_parts
 
 #: Slots of the word-count table (int32, so 1 MB is broadcast) and of a shard.
 SLOTS, SHARD_MAX = 1 << 18, 4_096
@@ -33,7 +34,7 @@ SLOTS, SHARD_MAX = 1 << 18, 4_096
 
 def words(text: Column) -> Column:
     """Distinct lower-case runs of letters or digits."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    return F.array_remove(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+")), "")
 
 
 def word_sets(rows: DataFrame, least: dict[str, int]) -> DataFrame:
@@ -43,13 +44,14 @@ def word_sets(rows: DataFrame, least: dict[str, int]) -> DataFrame:
     alike on purpose, so fields do not meet. c1 stands for the whole set. A word
     is 32 bits: that two of a pair's some 80 words agree in them has a chance of
     one in a million, and it matters only to a pair one word from the floor.
+    What explode makes, Spark does not work out again for the filter on its size.
     """
     enough = None
     for name, n in least.items():
         enough = F.when(F.col("field_name") == name, n) if enough is None else enough.when(F.col("field_name") == name, n)
-    sets = rows.where(F.col("text").isNotNull() & F.col("key").isNotNull()).select("field_name", "key", words(F.col("text")).alias("w"))
+    sets = rows.where(F.col("text").isNotNull() & F.col("key").isNotNull()).select("field_name", "key", F.explode(F.array(words(F.col("text")))).alias("w"))
     sets = sets.where(F.size("w") >= enough)
-    hashes = F.array_sort(F.transform("w", lambda w: F.hash(F.col("field_name"), w)))
+    hashes = F.sort_array(F.transform("w", lambda w: F.hash(F.col("field_name"), w)))
     return sets.select("field_name", "key", F.size("w").alias("n"), hashes.alias("h")).withColumn("c1", F.xxhash64("h"))
 
 
@@ -76,30 +78,48 @@ def sketches(h: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.
     return packed[:, 0], packed[:, 1]
 
 
-def entries(classes: DataFrame, counts: np.ndarray, floor: tuple[int, int]) -> DataFrame:
-    """(token, c1, n, s1, s2): one entry for each of a set's rarest words that others may share."""
-    shared = ship(classes.sparkSession).broadcast(counts)
+def _rarest(batch: pa.RecordBatch, counts: np.ndarray, up: int, down: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word, row, place, rarity) of each set's rarest words that others may share; a set's
+    words are placed from the rarest on. The batch has columns n and h."""
+    n = batch.column("n").to_numpy().astype(np.int64)
+    h, row = _flat(batch.column("h"))
+    rarity = counts[h % SLOTS]
+    order = np.argsort(rarity.astype(np.int64) << 32 | h.view(np.uint32))
+    order = order[np.argsort(row[order].astype(np.uint16 if len(n) < 65_536 else np.int64), kind="stable")]
+    h, rarity = h[order], rarity[order]
+    place = np.arange(len(h)) - (np.cumsum(n) - n)[row]
+    keep = (place < (n - (-(-n * up // down)) + 1)[row]) & (rarity > 1)
+    return h[keep], row[keep], place[keep], rarity[keep]
+
+
+def entries(classes: DataFrame, shared: Broadcast, floor: tuple[int, int]) -> DataFrame:
+    """(token, c1, n, place, s1, s2): one entry for each of a set's rarest words that others may share."""
     up, down = floor
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            c1, n = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
-            h, row = _flat(batch.column(2))
-            s1, s2 = sketches(h, row, len(n))
-            rarity = counts[h % SLOTS]
-            order = np.lexsort((h, rarity, row))
-            h, rarity = h[order], rarity[order]
-            start = np.concatenate([[0], np.cumsum(n)[:-1]])
-            place = np.arange(len(h)) - start[row]
-            prefix = n - (-(-n * up // down)) + 1
-            keep = (place < prefix[row]) & (rarity > 1)
-            at = row[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(c1[at]), pa.array(n[at].astype(np.int32)), pa.array(s1[at].view(np.int64)), pa.array(s2[at].view(np.int64))], names=["token", "c1", "n", "s1", "s2"])
-
-    return classes.select("c1", "n", "h").mapInArrow(cut, "token int, c1 long, n int, s1 long, s2 long")
+            s1, s2 = sketches(*_flat(batch.column("h")), batch.num_rows)
+            token, at, place, _ = _rarest(batch, shared.value, up, down)
+            c1, n = batch.column("c1").to_numpy(), batch.column("n").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(c1[at]), pa.array(n[at]), pa.array(place.astype(np.int32)), pa.array(s1[at].view(np.int64)), pa.array(s2[at].view(np.int64))], names=["token", "c1", "n", "place", "s1", "s2"])
+
+    return classes.select("c1", "n", "h").mapInArrow(cut, "token int, c1 long, n int, place int, s1 long, s2 long")
+
+
+def large_shards(classes: DataFrame, shared: Broadcast, floor: tuple[int, int]) -> DataFrame:
+    """(token, parts) of the shards beyond SHARD_MAX; only words of fuller slots can have one."""
+    (up, down), most = floor, SHARD_MAX
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                token, _, _, rarity = _rarest(batch, shared.value, up, down)
+                yield pa.RecordBatch.from_arrays([pa.array(token[rarity > most])], names=["token"])
+
+    sizes = classes.select("n", "h").mapInArrow(cut, "token int").groupBy("token").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > most)
+    return stage(sizes.select("token", F.ceil(F.col("m") / most).cast("int").alias("parts")), "large-shards")
 
 
 class Forest:
@@ -154,18 +174,31 @@ def _radius(m: np.ndarray, n: np.ndarray, up: int, down: int) -> np.ndarray:
     return (m + n) * (down - up) // (down + up)
 
 
-def _pairs(shard: np.ndarray, c1: np.ndarray, n: np.ndarray, s1: np.ndarray, s2: np.ndarray, up: int, down: int, tree: np.ndarray | None = None, asks: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pairs(shard: np.ndarray, c1: np.ndarray, n: np.ndarray, place: np.ndarray, s1: np.ndarray, s2: np.ndarray, up: int, down: int, tree: np.ndarray | None = None, asks: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Class pairs within the radius that their sizes allow. ``tree``: the rows that the
-    trees hold, ``asks``: those that search them; all rows, if not given."""
+    trees may hold, ``asks``: those that search them; all rows, if not given.
+
+    The larger set of a pair asks for the smaller one. The first word that they
+    share, from the rarest on, has in each of them as many words from there on as
+    they share, so the smaller one has it among fewer words still: only those are
+    in trees, and a pair that meets at a later place is left to an earlier word.
+    """
     tree = np.arange(len(shard)) if tree is None else tree
     asks = np.arange(len(shard)) if asks is None else asks
-    forest = Forest(shard[tree], s1[tree], s2[tree])
+    tree = tree[(n[tree] - place[tree]) * (up + down) >= 2 * n[tree] * up]
+    if not len(tree):
+        return
+    held = np.unique(shard[tree])
+    number = np.full(shard.max() + 1, -1)
+    number[held] = np.arange(len(held))
+    asks = asks[number[shard[asks]] >= 0]
+    forest = Forest(number[shard[tree]], s1[tree], s2[tree])
     for s in range(0, len(asks), 8_192):
         q = asks[s : s + 8_192]
-        widest = _radius(n[q], n[q] * down // up, up, down)
-        for a, b, d in forest.search(shard[q], s1[q], s2[q], widest):
+        for a, b, d in forest.search(number[shard[q]], s1[q], s2[q], _radius(n[q], n[q], up, down)):
             a, b = q[a], tree[b]
-            keep = (d <= _radius(n[a], n[b], up, down)) & (c1[a] != c1[b]) & (np.minimum(n[a], n[b]) * down >= np.maximum(n[a], n[b]) * up)
+            keep = (d <= _radius(n[a], n[b], up, down)) & ((n[a] > n[b]) | (n[a] == n[b]) & (c1[a] > c1[b])) & (n[b] * down >= n[a] * up)
+            keep &= np.minimum(n[a] - place[a], n[b] - place[b]) * (up + down) >= (n[a] + n[b]) * up
             a, b = a[keep], b[keep]
             if len(a):
                 yield np.minimum(c1[a], c1[b]), np.maximum(c1[a], c1[b])
@@ -174,45 +207,44 @@ def _pairs(shard: np.ndarray, c1: np.ndarray, n: np.ndarray, s1: np.ndarray, s2:
 _PAIR = "left long, right long"
 
 
-def candidates(entries_df: DataFrame, up: int, down: int) -> DataFrame:
+def candidates(classes: DataFrame, floor: tuple[int, int]) -> DataFrame:
     """Distinct class pairs (left, right) that some shard's BK-tree finds."""
-    sizes = entries_df.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > SHARD_MAX)
-    sizes = stage(sizes.select("token", F.ceil(F.col("m") / SHARD_MAX).cast("int").alias("parts")), "large-shards")
+    up, down = floor
+    shared = ship(classes.sparkSession).broadcast(slot_counts(classes))
+    sizes, entries_df = large_shards(classes, shared, floor), entries(classes, shared, floor)
     any_large = not sizes.isEmpty()
     rest = entries_df.join(sizes, "token", "left_anti") if any_large else entries_df
 
     def batch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        count = 0
-        for part in grouped(it, "token"):
-            if part.num_rows < 2:
-                continue
-            held.append(part)
-            count += part.num_rows
-            if count >= 50_000:
-                yield from _run(pa.concat_tables(held))
-                held, count = [], 0
-        if held:
-            yield from _run(pa.concat_tables(held))
+        for part in blocks(it, "token", 50_000):
+            token = part.column("token").to_numpy()
+            same = token[1:] == token[:-1]
+            met = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+            if met.any():
+                yield from _run(part.filter(pa.array(met)))
 
     def _run(t: pa.Table, cell: bool = False) -> Iterator[pa.RecordBatch]:
-        token, c1, n, s1, s2 = (t.column(x).to_numpy() for x in ("token", "c1", "n", "s1", "s2"))
+        token, c1, n, place, s1, s2 = (t.column(x).to_numpy() for x in ("token", "c1", "n", "place", "s1", "s2"))
         shard = np.cumsum(np.diff(token, prepend=token[0]) != 0)
-        tree = asks = None
+        both = [(None, None)]
         if cell and t.column("i")[0] != t.column("j")[0]:
             own = t.column("part").to_numpy() == t.column("i")[0].as_py()
-            tree, asks = np.flatnonzero(own), np.flatnonzero(~own)
-        found = list(_pairs(shard, c1, n.astype(np.int64), s1.view(np.uint64), s2.view(np.uint64), up, down, tree, asks)) if tree is None or len(tree) and len(asks) else []
+            one, two = np.flatnonzero(own), np.flatnonzero(~own)
+            both = [(one, two), (two, one)]
+        found = [x for tree, asks in both for x in _pairs(shard, c1, n.astype(np.int64), place.astype(np.int64), s1.view(np.uint64), s2.view(np.uint64), up, down, tree, asks)]
         if found:
-            both = np.unique(np.stack([np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["left", "right"])
+            left, right = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((right, left))
+            left, right = left[order], right[order]
+            new = np.concatenate([[True], (left[1:] != left[:-1]) | (right[1:] != right[:-1])])
+            yield pa.RecordBatch.from_arrays([pa.array(left[new]), pa.array(right[new])], names=["left", "right"])
 
     found = rest.repartition("token").sortWithinPartitions("token").mapInArrow(batch, _PAIR)
     if any_large:
         # part i's tree is searched by part j for i <= j; each pair of parts is a task's work
         cut = entries_df.join(sizes, "token").withColumn("part", F.pmod(F.xxhash64("c1"), F.col("parts")).cast("int"))
         spread = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-        spread = spread.select(F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "token", "c1", "n", "s1", "s2", "part").withColumn("cell", F.xxhash64("token", "i", "j"))
+        spread = spread.select(F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "token", "c1", "n", "place", "s1", "s2", "part").withColumn("cell", F.xxhash64("token", "i", "j"))
 
         def cell(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in grouped(it, "cell"):
@@ -222,6 +254,32 @@ def candidates(entries_df: DataFrame, up: int, down: int) -> DataFrame:
     return found.distinct()
 
 
+def enough_shared(pairs: DataFrame, up: int, down: int) -> DataFrame:
+    """(left, right, shared, n_left, n_right) of those (left, n_left, h_left, right, n_right,
+    h_right) that share enough words; h is in order."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = np.cumsum(batch.column("n_left").to_numpy().astype(np.int64) + batch.column("n_right").to_numpy())
+            starts = np.flatnonzero(np.diff(words // 1_000_000, prepend=-1)).tolist()
+            for start, end in zip(starts, [*starts[1:], batch.num_rows]):
+                yield few(batch.slice(start, end - start))
+
+    def few(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys = []
+        for side in ("h_left", "h_right"):
+            h, row = _flat(batch.column(side))
+            key = row << 32 | (h.astype(np.int64) + 2**31)
+            keys.append(key[np.diff(key, prepend=-1) != 0])
+        key = np.sort(np.concatenate(keys), kind="stable")
+        shared = np.bincount(key[1:][key[1:] == key[:-1]] >> 32, minlength=batch.num_rows)
+        n_left, n_right = (batch.column(x).to_numpy().astype(np.int64) for x in ("n_left", "n_right"))
+        columns = [batch.column("left"), batch.column("right"), pa.array(shared.astype(np.int32)), batch.column("n_left"), batch.column("n_right")]
+        return pa.RecordBatch.from_arrays(columns, names=["left", "right", "shared", "n_left", "n_right"]).filter(pa.array(shared * (up + down) >= (n_left + n_right) * up))
+
+    return pairs.select("left", "n_left", "h_left", "right", "n_right", "h_right").mapInArrow(check, "left long, right long, shared int, n_left int, n_right int")
+
+
 def similar_pairs(rows: DataFrame, least: dict[str, int], floor: tuple[int, int] = (7, 10)) -> tuple[DataFrame, DataFrame]:
     """(members, pairs): key to class, and the class pairs whose sets are similar enough.
 
@@ -232,14 +290,14 @@ def similar_pairs(rows: DataFrame, least: dict[str, int], floor: tuple[int, int]
     classes. Long texts are taken whole. An empty table gives no rows.
     """
     up, down = floor
-    sets = word_sets(rows, least)
-    classes = stage(sets.groupBy("c1").agg(F.first("n").alias("n"), F.first("h").alias("h")), "word-sets")
-    found = candidates(entries(classes, slot_counts(classes), floor), up, down)
+    sets = stage(word_sets(rows, least), "texts")
+    members = stage_parts([sets.select("field_name", "key", "c1").distinct()], "members")
+    classes = stage_parts([sets.groupBy("c1").agg(F.first("n").alias("n"), F.first("h").alias("h"))], "word-sets")
+    drop(sets)
+    found = stage_parts([candidates(classes, floor)], "candidates")
     side = lambda name: classes.select(F.col("c1").alias(name), F.col("n").alias(f"n_{name}"), F.col("h").alias(f"h_{name}"))
-    checked = found.join(side("left"), "left").join(side("right"), "right").withColumn("shared", F.size(F.array_intersect("h_left", "h_right")))
-    enough = F.col("shared") * (up + down) >= (F.col("n_left") + F.col("n_right")) * up
-    pairs = checked.where(enough).select("left", "right", "shared", "n_left", "n_right")
-    return sets.select("field_name", "key", "c1").distinct(), pairs
+    pairs = enough_shared(found.join(side("left"), "left").join(side("right"), "right"), up, down)
+    return members, pairs
 
 
 def key_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from chronolens.llm import edited
-from chronolens.llm.edited import Forest, key_pairs, similar_pairs, sketches
+from chronolens.llm.arrow_groups import blocks
+from chronolens.llm.edited import Forest, key_pairs, similar_pairs, sketches, word_sets
 
 LEAST = {"t": 3, "u": 2}
 
@@ -86,3 +88,36 @@ def test_forest_finds_all_within_radius():
     d = np.bitwise_count(s1[:, None] ^ s1) + np.bitwise_count(s2[:, None] ^ s2)
     want = {(i, j) for i in range(300) for j in range(300) if shard[i] == shard[j] and d[i, j] <= radius[i]}
     assert got == want
+
+
+def test_texts_are_read_and_split_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = made(5, 80)
+    df = spark.createDataFrame(rows, "field_name string, key string, text string")
+    found = key_pairs(*similar_pairs(df.mapInArrow(note, df.schema), LEAST)).distinct()
+    assert {tuple(r) for r in found.collect()} == brute(rows)
+    assert seen.value == len(rows)
+    assert word_sets(df, LEAST)._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_a_pair_is_found_by_few_shards():
+    # two sets of 20 words that share all but the last: seven of their rarest words are entries
+    n = np.full(2, 20)
+    at = [len(list(edited._pairs(np.zeros(2, int), np.array([1, 2]), n, np.full(2, place), np.zeros(2, np.uint64), np.zeros(2, np.uint64), 7, 10))) for place in range(7)]
+    assert at == [1, 1, 1, 1, 0, 0, 0]
+
+
+def test_blocks_are_whole_groups():
+    rng = np.random.default_rng(3)
+    keys = np.sort(rng.integers(0, 40, 500))
+    batches = [pa.RecordBatch.from_arrays([pa.array(x)], names=["k"]) for x in np.split(keys, [0, 7, 150, 151, 400])]
+    found = [t.column("k").to_numpy() for t in blocks(iter(batches), "k", 60)]
+    assert np.array_equal(np.concatenate(found), keys) and len(found) > 3
+    assert all(a[-1] < b[0] for a, b in zip(found, found[1:]))
+    assert list(blocks(iter([]), "k", 60)) == []
